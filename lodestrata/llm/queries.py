@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import chat, html_text, mixing, warc
 from .common import table
 
 
@@ -14,6 +15,12 @@ def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload")), root)
+    return warc.read_records(index, root, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -21,9 +28,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(rows))
 
 
+def op7_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_temperature_mix": op3_temperature_mix,
+    "op4_warc_archive": op4_warc_archive,
     "op5_chat_format": op5_chat_format,
+    "op7_composite_text_density": op7_composite_text_density,
 }
 
 ORACLE_SQL: dict[str, str] = {
