@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, mixing, warc
+from . import chat, html_text, mixing, toxicity, warc
 from .common import table
 
 
+def op1_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op7_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_factorization_machine": op1_factorization_machine,
     "op3_temperature_mix": op3_temperature_mix,
     "op4_warc_archive": op4_warc_archive,
     "op5_chat_format": op5_chat_format,
