@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import remainder, small_batches
 
@@ -174,7 +175,7 @@ def score(docs: DataFrame, machine: Machine, *, bits: int = BITS) -> DataFrame:
     shared = spark.sparkContext.broadcast((machine.w0, machine.w, machine.v))
     docs = docs.drop("tox_score")
     keep = docs.columns
-    fields = docs.schema.add("tox_score", "double")
+    fields = T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType())])
 
     def run(batches):
         m = Machine(*shared.value)
