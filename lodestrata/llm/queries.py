@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, mixing, toxicity, warc
+from . import chat, html_text, langid, mixing, toxicity, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(rows))
 
 
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_temperature_mix": op3_temperature_mix,
     "op4_warc_archive": op4_warc_archive,
     "op5_chat_format": op5_chat_format,
+    "op6_cross_parsing": op6_cross_parsing,
     "op7_composite_text_density": op7_composite_text_density,
 }
 
