@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, langid, mixing, toxicity, warc
+from . import chat, decontaminate, html_text, langid, mixing, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op7_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorization_machine": op1_factorization_machine,
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op3_temperature_mix": op3_temperature_mix,
     "op4_warc_archive": op4_warc_archive,
     "op5_chat_format": op5_chat_format,
