@@ -35,7 +35,7 @@ FACTORS = 4
 WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Bound of the labelled sample that the model is fitted to.
-MAX_ROWS = 16_000
+MAX_ROWS = 10_000
 #: Bound of the cells that carry weights.
 ACTIVE = 1 << 10
 
@@ -75,18 +75,22 @@ class Hasher:
         return np.fromiter(out, np.int32, len(out))
 
 
-def _informative(indptr: np.ndarray, cells: np.ndarray, y: np.ndarray, active: int) -> np.ndarray:
+def _informative(samples: list[tuple[int, np.ndarray]], size: int, active: int) -> np.ndarray:
     """Cells with the most information about the label (G statistic over presence), those in at least three rows."""
-    rows = np.repeat(np.arange(len(y)), np.diff(indptr))
-    ids, inverse = np.unique(cells, return_inverse=True)
-    n, k = np.bincount(inverse), np.bincount(inverse, weights=y[rows])
-    total, pos = len(y), y.sum()
+    n, k = np.zeros(size), np.zeros(size)
+    total, pos = float(len(samples)), 0.0
+    for label, cells in samples:
+        n[cells] += 1
+        if label:
+            k[cells] += 1
+            pos += 1
+    ids = np.flatnonzero(n >= 3)
+    n, k = n[ids], k[ids]
 
     def part(a, b):
         return np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)), 0.0)
 
     g = part(k, n * pos / total) + part(n - k, n * (total - pos) / total) + part(pos - k, (total - n) * pos / total) + part((total - n) - (pos - k), (total - n) * (total - pos) / total)
-    g = np.where(n >= 3, g, -1)
     order = np.lexsort((ids, -g))[:active]
     return ids[order[g[order] > 2.0]]
 
@@ -102,9 +106,7 @@ def fit(samples: list[tuple[int, np.ndarray]], *, bits: int = BITS, factors: int
     w0 = float(np.log(pos / (1 - pos)))
     if y.min() == y.max():
         return Machine(w0, w, v)
-    indptr = np.concatenate([[0], np.cumsum([len(c) for _, c in samples])])
-    cells = np.concatenate([c for _, c in samples]) if indptr[-1] else np.zeros(0, np.int32)
-    chosen = np.sort(_informative(indptr, cells, y, active))
+    chosen = np.sort(_informative(samples, size, active))
     if not len(chosen):
         return Machine(w0, w, v)
     local = np.full(size, -1, np.int32)
