@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, langid, mixing, toxicity, warc
+from . import chat, decontaminate, html_text, langid, mixing, neardup, toxicity, warc
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorization_machine": op1_factorization_machine,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_cross_parsing": op6_cross_parsing,
     "op7_composite_text_density": op7_composite_text_density,
+    "op8_weighted_minhash": op8_weighted_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -10,7 +10,6 @@ import xxhash
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 #: One odd multiplier for each place in a shingle.
 _PLACE = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k * 0x165667B19E3779F9) % (1 << 64) | 1 for k in range(SHINGLE)], np.uint64)
 
@@ -47,7 +46,7 @@ def shingles(h: np.ndarray) -> np.ndarray:
     if not n:
         return h
     k = min(SHINGLE, n)
-    out = np.full(n - k + 1, np.uint64(n if n < SHINGLE else 0) * _MIX2, np.uint64)
+    out = np.full(n - k + 1, (n if n < SHINGLE else 0) * 0x165667B19E3779F9 % (1 << 64), np.uint64)
     for i in range(k):
         out += h[i : n - k + 1 + i] * _PLACE[i]
     return mix(out)
