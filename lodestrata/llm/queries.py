@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, langid, mixing, neardup, toxicity, warc
+from . import ann, chat, decontaminate, html_text, langid, mixing, neardup, toxicity, warc
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorization_machine": op1_factorization_machine,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_cross_parsing": op6_cross_parsing,
     "op7_composite_text_density": op7_composite_text_density,
     "op8_weighted_minhash": op8_weighted_minhash,
+    "op9_collision_counting": op9_collision_counting,
 }
 
 ORACLE_SQL: dict[str, str] = {
