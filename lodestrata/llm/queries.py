@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html_text, langid, mixing, neardup, toxicity, warc
+from . import ann, chat, decontaminate, html_text, langid, lm, mixing, neardup, toxicity, warc
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op9_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorization_machine": op1_factorization_machine,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_composite_text_density": op7_composite_text_density,
     "op8_weighted_minhash": op8_weighted_minhash,
     "op9_collision_counting": op9_collision_counting,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
