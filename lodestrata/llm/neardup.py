@@ -6,13 +6,14 @@ documents in CELLS hashed cells, so the table that is broadcast has a fixed size
 consistent weighted samples of two sets agrees with probability equal to their weighted Jaccard
 similarity (sum of minima over sum of maxima); BANDS of ROWS samples make bucket keys.
 
-Equal texts are put together first; all that follows is between different texts. Every bucket is
-searched in rounds, and only between texts that are not yet in one class: each member against the
-smallest, each against the largest, then, where a bucket still holds several classes, all pairs
-across classes whose samples agree often enough that a pair at the threshold would be missed with
-probability under 1e-4, in blocks of bounded size. Each candidate pair is verified by the weighted
-Jaccard similarity of the whole texts. Classes are the connected components; no bucket, group or
-partner list is capped.
+Equal texts are put together first; all that follows is between different texts. In every bucket
+each member is verified against the smallest. Where the other members of a bucket still belong to
+several classes, they are compared block against block, blocks having a bounded size: pairs across
+classes are verified, most agreeing samples first, if their samples agree often enough that a pair at
+the threshold would be missed with probability under 1e-4. A pair found alike joins its classes at
+once, so a block yields the links of a spanning forest, not all pairs. Pairs are verified by the
+weighted Jaccard similarity of the whole texts. Classes are the connected components; no bucket,
+group or partner list is capped.
 
 The inverse document frequency is the mean over a shingle's words rather than the shingle's own: a
 shingle's own frequency falls to one in exactly the shingles in which near copies differ, and rises
@@ -38,12 +39,12 @@ from .words import SHINGLE, WordHashes, mix, shingles
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
-#: Samples that must agree before a pair across classes is verified in the last round.
+#: Samples that must agree before a pair across classes is verified block against block.
 AGREE = 22
 CELLS = 1 << 18
 CELL_BLOCK = 1 << 12
-#: Members of a bucket compared with each other at once.
-COMPARE_BLOCK = 1024
+#: Members of a bucket, and characters of their texts, that are a block when members are compared with each other.
+BLOCK_MEMBERS, BLOCK_CHARS = 1024, 4 << 20
 
 # ---------------------------------------------------------------- document frequencies
 
@@ -232,43 +233,58 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def star_pairs(rows: DataFrame, smallest: bool) -> DataFrame:
-    """Each member of a bucket with the bucket's smallest or largest, where the two are in different classes."""
-    pick = F.min if smallest else F.max
-    lead = rows.groupBy("bucket").agg(pick(F.struct("text_key", "label")).alias("lead"))
-    return rows.join(lead, "bucket").where("label <> lead.label").select(F.col("lead.text_key").alias("a"), F.col("text_key").alias("b")).distinct()
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's smallest."""
+    lead = members.groupBy("bucket").agg(F.min("text_key").alias("a"))
+    return members.join(lead, "bucket").where("text_key <> a").select("a", F.col("text_key").alias("b")).distinct()
 
 
-def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one class, with their class."""
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, text_key, label): members besides the smallest, in buckets where these belong to several classes."""
     rows = members.join(labels, "text_key")
-    open_buckets = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return rows.join(open_buckets, "bucket")
+    of = rows.groupBy("bucket").agg(F.min("text_key").alias("lead"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high")
+    rest = rows.join(of.select("bucket", "lead"), "bucket").where("text_key <> lead").select("bucket", "text_key", "label")
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return rest.join(mixed, "bucket")
 
 
-def cross_pairs(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """All pairs across classes in a bucket whose samples agree often enough, found block against block."""
+def block_links(rows: DataFrame, texts: DataFrame, sigs: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): links that join the classes found alike within a bucket, block against block."""
     small_batches(rows.sparkSession, 10_000)
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(COMPARE_BLOCK)).cast("int").alias("blocks"))
-    placed = rows.join(sigs, "text_key").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    full = rows.join(sigs, "text_key").join(texts, "text_key")
+    sizes = rows.join(texts.select("text_key", F.length("text").alias("chars")), "text_key").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("chars") / F.lit(BLOCK_CHARS))).cast("int").alias("blocks"))
+    placed = full.join(sizes, "bucket").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
     # A member goes to every pair of blocks that its own block is in.
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
 
     def compare(group: pa.Table) -> pa.Table:
-        keys, labels = group.column("text_key").to_pylist(), group.column("label").to_pylist()
+        keys, labels, bodies = (group.column(c).to_pylist() for c in ("text_key", "label", "text"))
         block, x, y = np.array(group.column("block")), group.column("x")[0].as_py(), group.column("y")[0].as_py()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(keys), SAMPLES)
         code = {k: i for i, k in enumerate(dict.fromkeys(labels))}
-        cls = np.array([code[k] for k in labels])
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        out = set()
+        cls = np.array([code[k] for k in labels])  # joined as links are found
+        table, words, sets = idf.value, WordHashes(), {}
+
+        def weighted(i: int):
+            if i not in sets:
+                sets[i] = weighted_set(words.of(bodies[i]), table)
+            return sets[i]
+
+        left, right, found = np.flatnonzero(block == x), np.flatnonzero(block == y), []
         for i in left:
-            near = right[(cls[right] != cls[i]) & ((sig[right] == sig[i]).sum(axis=1) >= AGREE)]
-            out.update((min(keys[i], keys[j]), max(keys[i], keys[j])) for j in near)
-        pairs = sorted(out)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+            agree = (sig[right] == sig[i]).sum(axis=1)
+            near = right[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())]
+            near = near[cls[near] != cls[i]]
+            while len(near):
+                j = int(near[0])
+                near = near[1:]
+                if weighted_jaccard(weighted(i), weighted(j)) >= threshold:
+                    found.append((keys[i], keys[j]))
+                    cls[cls == cls[j]] = cls[i]
+                    near = near[cls[near] != cls[i]]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
-    return placed.select("bucket", "x", "y", "block", "text_key", "label", "sig").groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+    return placed.select("bucket", "x", "y", "block", "text_key", "label", "sig", "text").groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 # ---------------------------------------------------------------- classes
@@ -309,10 +325,8 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     texts = staged(involved_texts(docs, wanted), "dup-texts")
     sigs = signed.select("text_key", "sig").join(wanted, "text_key").groupBy("text_key").agg(F.first("sig").alias("sig"))
     labels = wanted.withColumn("label", F.col("text_key"))
-    for smallest in (True, False):
-        open_rows = mixed(members, labels)
-        labels = merge(labels, verify(star_pairs(open_rows, smallest), texts, idf, threshold))
-    labels = merge(labels, verify(cross_pairs(mixed(members, labels), sigs), texts, idf, threshold))
+    labels = merge(labels, verify(star_pairs(members), texts, idf, threshold))
+    labels = merge(labels, block_links(staged(open_members(members, labels), "dup-open"), texts, sigs, idf, threshold))
     return rows, labels
 
 
