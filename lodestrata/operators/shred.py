@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fields import flag, flag_or_false, flag_or_null, int_or_zero, joined, named, present, strict_int, text, text_list
 from ..plans.entities import EntitySpec
@@ -19,11 +20,22 @@ from ..plans.entities import EntitySpec
 PARSE_OPTIONS = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false", "attributePrefix": "_", "valueTag": "_VALUE"}
 
 
-def parse(records: DataFrame, spec: EntitySpec, column: str = "xml") -> DataFrame:
-    """The records as a struct column `r`; malformed XML fails the query."""
-    return records.select(F.from_xml(F.col(column), spec.record.toDDL(), PARSE_OPTIONS).alias("r"))
+#: Staged columns whose field in the record has another name.
+FIELDS = {"parent_id": "parentLabel", "parent_name": "parentLabel", "status": "_status", "is_main_release": "master_id", "tracks": "tracklist", "track_artists": "tracklist", "track_extraartists": "tracklist"}
+
+
+def record_schema(spec: EntitySpec, only: list[str] | None = None) -> T.StructType:
+    """The record's schema, or the part of it that some staged columns need: from_xml builds all it is told of."""
+    if only is None:
+        return spec.record
+    wanted = {spec.id_field, *(FIELDS.get(n, n) for n in only)}
+    return T.StructType([f for f in spec.record.fields if f.name in wanted])
 
 
+def parse(records: DataFrame, spec: EntitySpec, column: str = "xml", only: list[str] | None = None, *keep: str) -> DataFrame:
+    """The records as a struct column `r`; malformed XML fails the query."""
+    return records.select(*keep, F.from_xml(F.col(column), record_schema(spec, only).toDDL(), PARSE_OPTIONS).alias("r"))
+
 
 def record_id(spec: EntitySpec) -> Column:
     c = F.col(f"r.{spec.id_field}")
@@ -108,10 +120,10 @@ STAGED: dict[str, dict[str, Callable[[], Column]]] = {
 }
 
 
-def stage(records: DataFrame, spec: EntitySpec, column: str = "xml", only: list[str] | None = None) -> DataFrame:
-    """The staged table: record_id as text and the columns above. Records without id are still in it, so that they can be counted."""
+def stage(records: DataFrame, spec: EntitySpec, column: str = "xml", only: list[str] | None = None, *keep: str) -> DataFrame:
+    """The staged table: record_id as text and the columns above, or only some; other columns to keep first. Records without id are still in it, so that they can be counted."""
     wanted = STAGED[spec.name]
-    return parse(records, spec, column).select(record_id(spec).alias("record_id"), *[f().alias(n) for n, f in wanted.items() if only is None or n in only])
+    return parse(records, spec, column, only, *keep).select(*keep, record_id(spec).alias("record_id"), *[f().alias(n) for n, f in wanted.items() if only is None or n in only])
 
 
 def _id() -> Column:

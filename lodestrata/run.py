@@ -48,10 +48,7 @@ def stage_dump(spark: SparkSession, config: Config, spec: EntitySpec) -> tuple[D
     """Parse the dump once into the staged table."""
     spark.conf.set("spark.sql.files.maxPartitionBytes", f"{config.chunk_mb}m")
     records = read_records(spark, config.job.path, spec, partitions=config.parse_partitions)
-    wanted = shred.STAGED[spec.name]
-    parsed = records.select("closed", shred.F.from_xml("xml", spec.record.toDDL(), shred.PARSE_OPTIONS).alias("r"))
-    staged = parsed.select("closed", shred.record_id(spec).alias("record_id"), *[f().alias(n) for n, f in wanted.items()])
-    counted, seen = audit.observed(staged)
+    counted, seen = audit.observed(shred.stage(records, spec, "xml", None, "closed"))
     path = f"{config.stage_dir.rstrip('/')}/{spec.name}"
     counted.write.mode("overwrite").parquet(path)
     counts = seen.get
