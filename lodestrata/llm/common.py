@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch handed to Python. Whole texts travel in them, so it is kept small.
 ARROW_ROWS = 512
@@ -52,3 +54,26 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name, n = base, 0
+    while name.lower() in taken:
+        name, n = f"{base}_{n}", n + 1
+    return name
+
+
+def kept_rows(df: DataFrame, keep) -> DataFrame:
+    """The rows, all columns as they are, of which keep(texts) says so; keep is called per Arrow batch where the data lies."""
+    small_batches(df.sparkSession)
+    names = df.columns
+    at = [c.lower() for c in names].index("text")
+
+    def run(batches):
+        choose = keep()
+        for b in batches:
+            yield b.filter(pa.array(choose(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, T.StructType(df.schema.fields))

@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import kept_rows, small_batches
 from .words import WORD, mix
 
 #: Fixed masks, weight 5: contiguous, and three with gaps.
@@ -182,17 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, into which no test item leaks."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    keep = docs.columns
-    fields = T.StructType(docs.schema.fields)
     for index in index_parts(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            for b in batches:
-                clean = pa.array([not x for x in leaks(b.column("text").to_pylist(), shared.value)], pa.bool_())
-                yield b.filter(clean)
-
-        docs = docs.select(*keep).mapInArrow(run, fields)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = kept_rows(docs, lambda shared=shared: lambda texts: [not x for x in leaks(texts, shared.value)])
     return docs

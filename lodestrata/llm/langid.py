@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, small_batches
+from .common import kept_rows, remainder, small_batches
 
 SAMPLE_DOCS = 96
 EXCERPT = 512
@@ -213,6 +213,20 @@ def learn(docs: DataFrame) -> Parser:
     return build(labelled_sample(docs))
 
 
+def judge(texts: list[str | None], p: Parser, look: np.ndarray) -> list[tuple[str, float, float | None, int]]:
+    """(language, score, bits a symbol, symbols) of each text."""
+    folded = [fold(x, look) if x else np.zeros(0, np.uint8) for x in texts]
+    out = []
+    for t, row in zip(folded, phrase_counts(folded, p), strict=True):
+        if not len(t) or not p.langs:
+            out.append(("und", 0.0, None, len(t)))
+            continue
+        h = [float(c) * w / len(t) for c, w in zip(row, p.bits, strict=True)]
+        best = min(range(len(h)), key=lambda i: (h[i], p.langs[i]))
+        out.append((p.langs[best], 1.0 / sum(math.exp(-SHARPNESS * (x - h[best])) for x in h), h[best], len(t)))
+    return out
+
+
 def predict(docs: DataFrame, parser: Parser) -> DataFrame:
     """The input's columns with lang_pred, lang_score (0 to 1), lang_bits, the winner's estimate in bits a symbol, and lang_symbols."""
     spark = docs.sparkSession
@@ -226,21 +240,9 @@ def predict(docs: DataFrame, parser: Parser) -> DataFrame:
         p = shared.value
         look = p.lookup()
         for b in batches:
-            names, scores, bits = [], [], []
-            texts = [fold(x, look) if x else np.zeros(0, np.uint8) for x in b.column("text").to_pylist()]
-            counts = phrase_counts(texts, p)
-            for t, row in zip(texts, counts, strict=True):
-                if not len(t) or not p.langs:
-                    names.append("und")
-                    scores.append(0.0)
-                    bits.append(None)
-                    continue
-                h = [float(c) * w / len(t) for c, w in zip(row, p.bits, strict=True)]
-                best = min(range(len(h)), key=lambda i: (h[i], p.langs[i]))
-                names.append(p.langs[best])
-                scores.append(1.0 / sum(math.exp(-SHARPNESS * (x - h[best])) for x in h))
-                bits.append(h[best])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "lang_pred", "lang_score", "lang_bits", "lang_symbols"])
+            found = judge(b.column("text").to_pylist(), p, look)
+            names, scores, bits, sizes = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(sizes, pa.int64())], names=[*keep, "lang_pred", "lang_score", "lang_bits", "lang_symbols"])
 
     return docs.mapInArrow(run, fields)
 
@@ -255,4 +257,11 @@ def drop_unknown(docs: DataFrame, evidence: float = EVIDENCE) -> DataFrame:
     """The documents, all columns, that some learned language describes: those without letters go, and those that letters drawn evenly from the alphabet describe better than every language, by `evidence` bits over the whole text."""
     parser = learn(docs)
     even = math.log2(max(2, parser.alphabet))
-    return predict(docs, parser).where((F.col("lang_pred") != "und") & ((F.col("lang_bits") - even) * F.col("lang_symbols") < evidence)).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(parser)
+
+    def keep():
+        p = shared.value
+        look = p.lookup()
+        return lambda texts: [name != "und" and (bits - even) * n < evidence for name, _, bits, n in judge(texts, p, look)]
+
+    return kept_rows(docs, keep)

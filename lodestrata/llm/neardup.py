@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, staged
+from .common import fresh, small_batches, staged
 from .words import SHINGLE, WordHashes, mix, shingles
 
 THRESHOLD = 0.8
@@ -331,11 +331,11 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_key, class_id, class_size): the class of every row."""
+    """(doc_id, text_key, class_id, class_size, class_key): the class of every row. class_key tells classes apart that have no doc_id."""
     rows, labels = text_classes(docs, threshold)
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(labels, "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
     named = texts.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    return rows.join(texts.select("text_key", "label").join(named, "label").drop("label"), "text_key")
+    return rows.join(texts.select("text_key", "label").join(named, "label").withColumnRenamed("label", "class_key"), "text_key")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -345,11 +345,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, all columns: that with the smallest doc_id, one row of it."""
-    found = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id", "class_size").agg(F.min("text_key").alias("_key")).select(F.col("doc_id").alias("_id"), "_key").distinct()
-    columns = docs.columns
-    own = docs.withColumn("_own", text_key(F.col("text")))
-    kept = own.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
-    one = Window.partitionBy("doc_id", "_own").orderBy(F.lit(1))
-    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*columns)
-
-
+    found = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min(F.struct("text_key")).alias("k"), F.first("doc_id").alias("doc_id"))
+    columns, own_key, own_id, nth = docs.columns, fresh(docs, "own_key"), fresh(docs, "own_id"), fresh(docs, "nth")
+    wanted = found.select(F.col("k.text_key").alias(own_key), F.col("doc_id").alias(own_id))
+    keyed = docs.withColumn(own_key, text_key(F.col("text"))).withColumn(own_id, F.col("doc_id").cast("long"))
+    left, right = keyed.alias("l"), wanted.alias("r")
+    kept = left.join(right, F.col(f"l.{own_key}").eqNullSafe(F.col(f"r.{own_key}")) & F.col(f"l.{own_id}").eqNullSafe(F.col(f"r.{own_id}")), "left_semi")
+    one = Window.partitionBy(own_key, own_id).orderBy(F.lit(1))
+    return kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*[f"`{c}`" for c in columns])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, small_batches
+from .common import kept_rows, remainder, small_batches
 
 BITS = 20
 FACTORS = 4
@@ -171,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, **how) -> Machine:
 
 
 def score(docs: DataFrame, machine: Machine, *, bits: int = BITS) -> DataFrame:
-    """The input's columns with tox_score (0 to 1) added."""
+    """The input's columns with tox_score (0 to 1) added; a column of that name is replaced."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((machine.w0, machine.w, machine.v))
@@ -197,4 +197,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, all columns, that the machine doesn't call toxic."""
-    return score(docs, learn(docs, labels)).where(F.col("tox_score") < threshold).select(*docs.columns)
+    machine = learn(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
+
+    def keep():
+        m = Machine(*shared.value)
+        h = Hasher(BITS, bytes((m.w != 0) | m.v.any(axis=1)))
+        return lambda texts: [1 / (1 + np.exp(-min(30.0, max(-30.0, m.logit(h.cells(x)))))) < threshold for x in texts]
+
+    return kept_rows(docs, keep)
