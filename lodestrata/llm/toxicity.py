@@ -76,7 +76,7 @@ class Hasher:
 
 
 def _informative(samples: list[tuple[int, np.ndarray]], size: int, active: int) -> np.ndarray:
-    """Cells with the most information about the label (G statistic over presence), those in at least three rows."""
+    """Cells that carry weights, of those in at least three rows: three quarters are those with the most information about the label (G statistic over presence); the rest are the most frequent others, which may count only together with another term."""
     n, k = np.zeros(size), np.zeros(size)
     total, pos = float(len(samples)), 0.0
     for label, cells in samples:
@@ -91,8 +91,10 @@ def _informative(samples: list[tuple[int, np.ndarray]], size: int, active: int)
         return np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)), 0.0)
 
     g = part(k, n * pos / total) + part(n - k, n * (total - pos) / total) + part(pos - k, (total - n) * pos / total) + part((total - n) - (pos - k), (total - n) * (total - pos) / total)
-    order = np.lexsort((ids, -g))[:active]
-    return ids[order[g[order] > 2.0]]
+    informative = np.lexsort((ids, -g))[: active - active // 4]
+    others = np.setdiff1d(np.arange(len(ids)), informative)
+    frequent = others[np.lexsort((ids[others], -n[others]))[: active // 4]]
+    return ids[np.concatenate([informative, frequent])]
 
 
 def fit(samples: list[tuple[int, np.ndarray]], *, bits: int = BITS, factors: int = FACTORS, active: int = ACTIVE, epochs: int = 40, rate: float = 0.2, l2: float = 2e-4, batch: int = 128, seed: int = 7) -> Machine:
