@@ -84,11 +84,15 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
 
 
 def parsing_table(go: np.ndarray) -> np.ndarray:
-    """Flat table over (state * alphabet + symbol) of (next state * alphabet) * 2 + 1 where a phrase ends before the symbol."""
-    alphabet = go.shape[1]
-    fresh = np.where(go[0] < 0, 0, go[0])
+    """Flat table over (state * alphabet + symbol) of (next state * alphabet) * 2 + 1 where a phrase ends before the symbol.
+
+    Two states are added: after a symbol that occurs nowhere, which is a phrase of its own, and, last, before the first symbol.
+    """
+    n, alphabet = go.shape
+    fresh = np.where(go[0] < 0, n, go[0])  # where a phrase begins with the symbol
     ends = go < 0
-    nxt = np.where(ends, fresh[None, :], go)
+    nxt = np.concatenate([np.where(ends, fresh[None, :], go), fresh[None, :], fresh[None, :]])
+    ends = np.concatenate([ends, np.ones((1, alphabet), bool), np.zeros((1, alphabet), bool)])
     return ((nxt.astype(np.int32) * alphabet) * 2 + ends).ravel().astype(np.int32)
 
 
@@ -153,7 +157,7 @@ def phrase_counts(texts: list[np.ndarray], parser: Parser) -> np.ndarray:
             for t in range(steps):
                 lanes[t, : live[t]] = flat[begin[: live[t]] + t]
             for k, table in enumerate(parser.tables):
-                state = np.zeros(len(owner), np.int32)
+                state = np.full(len(owner), len(table) - parser.alphabet, np.int32)
                 ends = np.ones(len(owner), np.int32)
                 for t in range(steps):
                     m = live[t]
