@@ -204,21 +204,25 @@ def choose(body: Node) -> list[Node]:
     threshold = min(threshold, body.density)
     if best is body:
         return [body]
+    path, n = set(), best
+    while n is not None:
+        path.add(id(n))
+        n = n.parent
     kept: list[Node] = []
-
-    def keep(node: Node) -> None:
+    behind: list[list[Node]] = []
+    node: Node | None = body
+    while node is not None:  # down the path; what stands beside it is kept whole
+        inner, after = None, []
         for c in node.children:
             if c.__class__ is Node and c.chars and c.density >= threshold:
-                on_path = c
-                p = best
-                while p is not None and p is not on_path:
-                    p = p.parent
-                if c is best or p is None:
-                    kept.append(c)
+                if id(c) in path and c is not best:
+                    inner = c
                 else:
-                    keep(c)
-
-    keep(body)
+                    (kept if inner is None else after).append(c)
+        behind.append(after)
+        node = inner
+    for after in reversed(behind):
+        kept += after
     return kept or [best]
 
 

@@ -1,0 +1,120 @@
+"""Near-duplicate classes against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+
+from lodestrata.llm import neardup as N
+from lodestrata.llm.words import WordHashes, shingles
+
+from .conftest import ODD, sentence, words
+
+
+def brute_classes(texts):
+    """Class of each text from all pairs, with the operator's own weights."""
+    w = WordHashes()
+    hashes = [w.of(t) for t in texts]
+    df = np.zeros(N.CELLS, np.int64)
+    for h in hashes:
+        df[np.unique(N.cells(h))] += 1
+    idf = N.idf_table(len(texts), df)
+    sets = [N.weighted_set(h, idf) for h in hashes]
+    part = list(range(len(texts)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (texts[i] or "") == (texts[j] or "") or N.weighted_jaccard(sets[i], sets[j]) >= N.THRESHOLD:
+                a, b = find(i), find(j)
+                part[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def family(rng, n, changes, length=80):
+    base = words(rng, "en", length)
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, changes)):
+            w[rng.randrange(len(w))] = "".join(rng.choice("xyz") for _ in range(5))
+        out.append(" ".join(w))
+    return out
+
+
+def test_classes_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = [sentence(rng, "en", rng.randint(5, 120)) for _ in range(60)]
+    for _ in range(12):
+        texts += family(rng, 4, 2)
+    texts += [texts[0]] * 5 + ["short one", "short one", "short two", "", None, ""]
+    rng.shuffle(texts)
+    got = {r.doc_id: r for r in N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].class_id for i in range(len(texts))] == brute_classes(texts)
+    sizes = {}
+    for r in got.values():
+        sizes[r.class_id] = sizes.get(r.class_id, 0) + 1
+    assert all(r.class_size == sizes[r.class_id] and r.kept == (r.class_id == r.doc_id) for r in got.values())
+
+
+def test_a_large_family_is_linked_as_brute_force_links_it(spark, monkeypatch):
+    """Copies so far from each other that many are alike to few; blocks of the bucket are small."""
+    rng = random.Random(3)
+    monkeypatch.setattr(N, "BLOCK_MEMBERS", 16)
+    texts = family(rng, 150, 8, 100)
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_classes(texts)
+    assert np.mean([got[i] == want[i] for i in range(len(texts))]) >= 0.97 and len(set(want)) > 1
+
+
+def test_samples_agree_as_often_as_the_sets_are_alike():
+    rng = np.random.default_rng(2)
+    a = (np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64)), rng.uniform(0.5, 8, 400))
+    rates, truth = [], []
+    for keep in (0.5, 0.8, 0.95):
+        for _ in range(30):
+            new = rng.random(400) > keep
+            keys = np.where(new, rng.integers(0, 1 << 63, 400, dtype=np.uint64), a[0])
+            order = np.argsort(keys)
+            b = (keys[order], np.where(rng.random(400) < 0.3, a[1] * 1.3, a[1])[order])
+            rates.append((N.samples(*a) == N.samples(*b)).mean())
+            truth.append(N.weighted_jaccard(a, b))
+    assert abs(np.mean(rates) - np.mean(truth)) < 0.02 and np.corrcoef(rates, truth)[0, 1] > 0.85
+
+
+def test_samples_of_long_sets_do_not_depend_on_the_chunks():
+    rng = np.random.default_rng(4)
+    keys, w = np.sort(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)), rng.uniform(1, 5, 5000)
+    parts = [N.samples(keys[s], w[s]) for s in (slice(0, 1500), slice(1500, 5000))]
+    whole = N.samples(keys, w)
+    assert all(x in (p, q) for x, p, q in zip(whole, *parts, strict=True))
+
+
+def test_weighted_jaccard():
+    k = lambda *x: np.array(x, np.uint64)
+    assert N.weighted_jaccard((k(1, 2), np.array([1.0, 2])), (k(2, 3), np.array([1.0, 1]))) == pytest.approx(1 / 4)
+    assert N.weighted_jaccard((k(), np.array([])), (k(), np.array([]))) == 0
+
+
+def test_shingles():
+    w = WordHashes()
+    assert len(shingles(w.of("a b c d e f"))) == 2 and len(shingles(w.of("a b"))) == 1 and len(shingles(w.of(""))) == 0
+    assert shingles(w.of("a b c d e"))[0] == shingles(w.of("A, b; c d -- e"))[0] != shingles(w.of("b a c d e"))[0]
+
+
+def test_odd_rows(odd, none, clashing):
+    got = N.near_duplicates(odd).collect()
+    by = {r.doc_id: r.class_id for r in got}
+    assert len(got) == len(ODD) and by[1] == by[2] == 1 and by[3] == 3 and by[6] == by[10] == by[None] == 6 and by[4] == 4
+    kept = N.drop_near_duplicates(clashing)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 8, 9, 11]
+    assert N.near_duplicates(none).count() == 0 and N.drop_near_duplicates(none).count() == 0
+
+
+def test_documents_without_id_keep_one_of_each_class(spark):
+    d = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "other words in this text here")], "doc_id long, text string")
+    assert sorted(r.text for r in N.drop_near_duplicates(d).collect()) == ["a b c d e f g", "other words in this text here"]
