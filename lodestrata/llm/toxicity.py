@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept_rows, remainder, small_batches
+from .common import kept_rows, remainder, small_batches, staged
 
 BITS = 20
 FACTORS = 4
@@ -163,7 +163,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_R
             cells = [np.sort(h.cells(x.as_py())).astype("<i4").tobytes() for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("draw"), b.column("toxic"), pa.array(cells, pa.binary())], schema=schema)
 
-    got = rows.mapInArrow(run, "doc_id string, draw long, toxic int, cells binary").toLocalIterator()
+    # Staged, so that all tasks extract at once and the driver then reads one partition after another.
+    got = staged(rows.mapInArrow(run, "doc_id string, draw long, toxic int, cells binary"), "tox-sample").toLocalIterator()
     kept = sorted((r["draw"] % (1 << 30), r["doc_id"], r["toxic"], bytes(r["cells"])) for r in got)[:max_rows]
     return [(t, np.frombuffer(c, "<i4")) for _, _, t, c in kept]
 
