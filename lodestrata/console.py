@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import platform
 import re
+import statistics
 
 
 def short_time(seconds: float) -> str:
@@ -32,3 +35,15 @@ def wall_seconds(text: str) -> float:
 
 def status(label: str, detail: str, timing: str = "") -> str:
     return f"  {label:<12} {detail}" + (f"  {timing}" if timing else "")
+
+
+def run_stats(seconds: list[float | None]) -> dict[str, float | int]:
+    """Median, standard deviation, least and most over the runs that succeeded (the others are None)."""
+    good = [s for s in seconds if s is not None]
+    if not good:
+        return {"runs": 0, "failed": len(seconds)}
+    return {"runs": len(good), "failed": len(seconds) - len(good), "median": statistics.median(good), "stdev": statistics.stdev(good) if len(good) > 1 else 0.0, "min": min(good), "max": max(good)}
+
+
+def system_info() -> dict[str, str | int]:
+    return {"system": platform.system(), "release": platform.release(), "machine": platform.machine(), "python": platform.python_version(), "cpus": os.cpu_count() or 0}

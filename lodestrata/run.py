@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import audit, shred
 from .plans.entities import EntitySpec, get
 from .sinks.base import Sink
-from .sources.dumps import EmptyDump, Job, MalformedDump, read_records
+from .sources.dumps import EmptyDump, Job, MalformedDump, named_error, read_records
 
 
 @dataclass
@@ -47,10 +47,13 @@ class Result:
 def stage_dump(spark: SparkSession, config: Config, spec: EntitySpec) -> tuple[DataFrame, dict]:
     """Parse the dump once into the staged table."""
     spark.conf.set("spark.sql.files.maxPartitionBytes", f"{config.chunk_mb}m")
-    records = read_records(spark, config.job.path, spec, partitions=config.parse_partitions)
-    counted, seen = audit.observed(shred.stage(records, spec, "xml", None, "closed"))
     path = f"{config.stage_dir.rstrip('/')}/{spec.name}"
-    counted.write.mode("overwrite").parquet(path)
+    try:
+        records = read_records(spark, config.job.path, spec, partitions=config.parse_partitions)
+        counted, seen = audit.observed(shred.stage(records, spec, "xml", None, "closed"))
+        counted.write.mode("overwrite").parquet(path)
+    except Exception as e:
+        raise named_error(config.job.path, e) from e
     counts = seen.get
     if not counts["records"] + counts["skipped"]:
         raise EmptyDump(f"{config.job.path}: no <{spec.row_tag}> found")
@@ -62,7 +65,7 @@ def stage_dump(spark: SparkSession, config: Config, spec: EntitySpec) -> tuple[D
 def run(spark: SparkSession, config: Config) -> Result:
     spec = get(config.job.entity)
     result = Result()
-    case = spark.conf.get("spark.sql.caseSensitive")
+    case, split = spark.conf.get("spark.sql.caseSensitive"), spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.caseSensitive", "true")  # names of elements are
     try:
         config.sink.prepare(spark, spec)
@@ -93,6 +96,7 @@ def run(spark: SparkSession, config: Config) -> Result:
         return result
     finally:
         spark.conf.set("spark.sql.caseSensitive", case)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
         if not config.keep_stage:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{config.stage_dir.rstrip('/')}/{spec.name}")
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -21,6 +21,21 @@ class DumpError(Exception):
     """A dump that cannot be read; names the file."""
 
 
+class DecompressError(DumpError):
+    """A gzip file that is damaged or cut off."""
+
+
+#: What the readers say of a damaged gzip file.
+GZIP_FAULTS = ("ZipException", "incorrect header check", "incorrect data check", "invalid stored block", "invalid block type", "invalid code lengths", "invalid distance", "Unexpected end of input stream", "not a gzip file", "EOFException")
+
+
+def named_error(path: str, error: Exception) -> Exception:
+    """A typed error with the file's name where the file's compression is to blame, else the error itself."""
+    if str(path).endswith(".gz") and any(x in str(error) for x in GZIP_FAULTS):
+        return DecompressError(f"{path}: cannot be decompressed")
+    return error
+
+
 class EmptyDump(DumpError, ValueError):
     """No record was found."""
 

@@ -79,3 +79,10 @@ def test_sizes_and_wall_times():
     assert [console.wall_seconds(t) for t in ("1:02:03", "2:03.5", "7")] == [3723, 123.5, 7]
     with pytest.raises(ValueError):
         console.wall_seconds("soon")
+
+
+def test_run_stats():
+    got = console.run_stats([3.0, None, 1.0, 2.0])
+    assert (got["runs"], got["failed"], got["median"], got["min"], got["max"], got["stdev"]) == (3, 1, 2.0, 1.0, 3.0, 1.0)
+    assert console.run_stats([None]) == {"runs": 0, "failed": 1} and console.run_stats([5.0])["stdev"] == 0.0
+    assert console.system_info()["cpus"] > 0

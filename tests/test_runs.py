@@ -13,7 +13,7 @@ from lodestrata.run import Config, run
 from lodestrata.sinks import JsonLinesSink, OutputExists, ParquetSink, get_sink
 from lodestrata.sinks.postgres import PostgresSink, jdbc_target
 from lodestrata.sinks.sqlite import SqliteSink
-from lodestrata.sources.dumps import EmptyDump, Job, MalformedDump
+from lodestrata.sources.dumps import DecompressError, EmptyDump, Job, MalformedDump
 
 
 def go(spark, path, entity, sink, tmp_path, **how):
@@ -100,6 +100,17 @@ def test_empty_and_truncated_dumps(spark, dump, tmp_path):
         go(spark, dump("labels", "<label><id>1</id></label>\n<label><id>2</id>", frame=False), "labels", ParquetSink(str(tmp_path / "b")), tmp_path)
 
 
+@pytest.mark.parametrize("harm", [lambda b: b[:-12], lambda b: b"no gzip at all" + b])
+def test_damaged_gzip_names_the_file(spark, dump, tmp_path, harm):
+    path = dump("labels", gz=True)
+    with open(path, "rb") as f:
+        data = harm(f.read())
+    with open(path, "wb") as f:
+        f.write(data)
+    with pytest.raises(DecompressError, match="labels.xml.gz"):
+        go(spark, path, "labels", ParquetSink(str(tmp_path / "o")), tmp_path)
+
+
 def test_cli(spark, dump, tmp_path, capsys):
     dump("labels"), dump("artists", gz=True)
     assert cli.main(["convert", str(tmp_path), "--output", str(tmp_path / "o"), "--profile", "--strict", "--no-progress"], spark=spark) == 0
