@@ -33,8 +33,12 @@ def record_schema(spec: EntitySpec, only: list[str] | None = None) -> T.StructTy
 
 
 def parse(records: DataFrame, spec: EntitySpec, column: str = "xml", only: list[str] | None = None, *keep: str) -> DataFrame:
-    """The records as a struct column `r`; malformed XML fails the query."""
-    return records.select(*keep, F.from_xml(F.col(column), record_schema(spec, only).toDDL(), PARSE_OPTIONS).alias("r"))
+    """The records as a struct column `r`; malformed XML fails the query.
+
+    The struct comes out of an explode of one item: filters on its fields cannot be pushed below a generator, so a
+    record is parsed once, not once more for each filter.
+    """
+    return records.select(*keep, F.explode(F.array(F.from_xml(F.col(column), record_schema(spec, only).toDDL(), PARSE_OPTIONS))).alias("r"))
 
 
 def record_id(spec: EntitySpec) -> Column:

@@ -46,7 +46,7 @@ def _s(c: str | Column) -> Column:
 
 def _items(*fields: Column, order: list[str]) -> Column:
     """All rows of a group as an array of structs, in order of the given columns."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*fields).alias("v")))), lambda x: x["v"])
+    return F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*fields).alias("v")))), lambda x: x["v"])
 
 
 def _orders_lines(spark: SparkSession, sf_dir: str, *fields: Column) -> DataFrame:
@@ -118,7 +118,7 @@ _LISTS = "SELECT o_custkey::INTEGER AS id, list_sort(list(DISTINCT o_orderpriori
 
 
 def _genre_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("g"))
+    rows = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("g"))
     return _xml(rows, "master", _s("o_custkey").alias("_id"), F.struct(F.concat(F.array(F.lit("")), F.col("g"), F.array(F.lit(""))).alias("genre")).alias("genres"))
 
 
@@ -293,11 +293,11 @@ def _tracklists(spark: SparkSession, sf_dir: str) -> DataFrame:
     credit = F.struct(F.array(F.struct(_s("turn").alias("id"), F.col("role").alias("name"))).alias("artist"))
     extra = F.struct(F.array(F.struct(_s("turn").alias("id"), F.col("role").alias("name"), F.lit("writer").alias("role"), F.lit("all").alias("tracks"))).alias("artist"))
     track = F.struct(_s("turn").alias("position"), F.col("text").alias("title"), credit.alias("artists"), extra.alias("extraartists"))
-    groups = rows.groupBy("conv_id", "g").agg(F.array_sort(F.collect_list(F.struct("i", track.alias("t")))).alias("all"))
+    groups = rows.groupBy("conv_id", "g").agg(F.sort_array(F.collect_list(F.struct("i", track.alias("t")))).alias("all"))
     head = F.col("all")[0]["t"]
     subs = F.transform(F.expr("slice(all, 2, size(all))"), lambda x: x["t"])
     tracks = groups.select("conv_id", "g", F.struct(head["position"].alias("position"), head["title"].alias("title"), head["artists"].alias("artists"), head["extraartists"].alias("extraartists"), F.struct(subs.alias("track")).alias("sub_tracks")).alias("t"))
-    lists = tracks.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "t"))), lambda x: x["t"]).alias("tracks"))
+    lists = tracks.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("g", "t"))), lambda x: x["t"]).alias("tracks"))
     return _xml(lists, "release", _s("conv_id").alias("_id"), F.struct(F.col("tracks").alias("track")).alias("tracklist"))
 
 

@@ -147,3 +147,9 @@ def test_only_the_columns_of_a_table_are_read_from_the_stage(spark, tmp_path):
     plan = shred.project(spark.read.parquet(str(tmp_path / "s")), spec, "release_series")._jdf.queryExecution().executedPlan().toString()
     schema = plan.split("ReadSchema:")[1]
     assert "series" in schema and "videos" not in schema and "tracks" not in schema and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("entity, table", [("masters", "masters"), ("releases", "release_labels"), ("releases", "release_tracks")])
+def test_a_record_is_parsed_once(spark, entity, table):
+    df = shred.shred_table(records(spark, "<a/>"), get(entity), table)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
