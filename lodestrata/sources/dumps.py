@@ -44,6 +44,9 @@ class MalformedDump(DumpError, ValueError):
     """The file does not end with a whole record."""
 
 
+BLANKS = " \t\r\n"
+
+
 @dataclass(frozen=True)
 class Job:
     path: str
@@ -101,13 +104,20 @@ def read_records(spark: SparkSession, path: str, spec: EntitySpec, *, line_sep:
     if str(path).endswith(".gz"):
         raw = raw.repartition(partitions or max(2, spark.sparkContext.defaultParallelism * 2))
     t, e, o = spec.row_tag, spec.name, _literal(spec.opening)
-    raw = raw.where(F.col("value").rlike(r"\S"))
-    closed = F.col("value").rlike(rf"</{t}>\s*(?:</{e}>\s*)?\z")
+    value, end = F.col("value"), f"</{t}>"
+    left, right = F.ltrim(value, F.lit(BLANKS)), F.rtrim(value, F.lit(BLANKS))
+    # Nearly all fragments lie between two separators. Only those that may hold the file's frame, or more than one
+    # record, are looked at with patterns.
+    head = F.startswith(left, F.lit("<?xml")) | F.startswith(left, F.lit(f"<{e}")) | F.startswith(left, F.lit(spec.opening))
+    tail = F.endswith(right, F.lit(end)) | F.endswith(right, F.lit(f"</{e}>"))
+    odd = head | tail | F.contains(value, F.lit(spec.opening))
+    closed = F.when(tail, value.rlike(rf"</{t}>\s*(?:</{e}>\s*)?\z")).otherwise(F.lit(False))
     # Records that another white space separates: split between an end tag and an opening.
-    parts = F.split(_repaired(F.col("value"), spec), rf"(?<=</{t}>)\s*(?={o})")
-    # A frame without records, or text before the first one, is not a record.
-    framed = F.col("value").rlike(rf"\A\s*(?:<\?xml[^>]*\?>\s*)?<{e}(?:\s[^>]*)?>\s*</{e}>\s*\z") | F.col("value").rlike(rf"\A\s*(?:<\?xml[^>]*\?>\s*)?<{e}(?:\s[^>]*)?/>\s*\z")
-    return raw.where(~framed).select(closed.alias("closed"), F.explode(parts).alias("xml"))
+    parts = F.when(odd, F.split(_repaired(value, spec), rf"(?<=</{t}>)\s*(?={o})")).otherwise(F.array(F.concat(F.lit(spec.opening), value, F.lit(end))))
+    # A frame without records is not a record.
+    frame = rf"\A\s*(?:<\?xml[^>]*\?>\s*)?(?:<{e}(?:\s[^>]*)?>\s*</{e}>|<{e}(?:\s[^>]*)?/>)\s*\z"
+    framed = F.when(head, value.rlike(frame)).otherwise(F.lit(False))
+    return raw.where((right != F.lit("")) & ~framed).select(closed.alias("closed"), F.explode(parts).alias("xml"))
 
 
 def read_dump(spark: SparkSession, path: str, **how) -> tuple[EntitySpec, DataFrame]:
