@@ -154,7 +154,7 @@ def index_parts(benchmark: DataFrame, part_words: int = PART_WORDS) -> list[Inde
     total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
     n = max(1, math.ceil(total / 4 / part_words))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [build_index(sorted(((r["item_id"], r["text"]) for r in items.where(part == i).toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))) for i in range(n)]
+    return [build_index(sorted(((r["item_id"], r["text"]) for r in items.where(part == i).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))) for i in range(n)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

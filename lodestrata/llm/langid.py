@@ -197,15 +197,16 @@ def build(samples: dict[str, list[str]]) -> Parser:
 
 def labelled_sample(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """Excerpts of at most sample_docs documents a language, outside the held-out fifth, by the smallest keyed hash."""
-    own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 0)).withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 0)).withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1 << 30)))
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    # Twice the documents needed are expected below the bound; the exact number is taken after.
+    # Twice the documents needed are expected below the bound; the exact number is taken after. Equal rows share a draw,
+    # hence the limit on what is read.
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * 2 * sample_docs / n) + 1))])
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int")
     drawn = own.where((F.col("draw") < bound[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).select("lang", "draw", F.col("doc_id").cast("string").alias("doc"), F.substring("text", F.lit(1) + start, F.lit(EXCERPT)).alias("part"))
-    rows = sorted(((r["lang"], r["draw"], r["doc"] or "", r["part"]) for r in drawn.toLocalIterator()), key=lambda r: r)
+    rows = sorted(((r["lang"], r["draw"], r["doc"] or "", r["part"]) for r in drawn.limit(8 * sample_docs * len(counts)).collect()), key=lambda r: r)
     out: dict[str, list[str]] = {}
     for lang, _, _, part in rows:
         if len(out.setdefault(lang, [])) < sample_docs:

@@ -78,7 +78,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     # Two rounds of sums, so that no task reads the tables of all others.
     spread = partial.repartition(F.col("block")).mapInArrow(add, "block int, counts binary")
     total = np.zeros(CELLS, np.int64)
-    for r in spread.toLocalIterator():
+    for r in spread.collect():
         total[r["block"] * CELL_BLOCK : (r["block"] + 1) * CELL_BLOCK] += np.frombuffer(bytes(r["counts"]), "<i8")
     return docs.count(), total
 

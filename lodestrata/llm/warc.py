@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
                 out.close()
 
     index = staged(rows.mapInArrow(run, INDEX), "warc-index")
-    named = {r[0] for r in index.select("file").distinct().toLocalIterator()}
+    named = {r[0] for r in index.select("file").distinct().collect()}
     fs, top = open_fs(root)
     for f in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True)):
         if f.base_name not in named:
