@@ -314,6 +314,23 @@ def test_tuning_helps_and_counts_do_not_depend_on_partitions(spark):
     assert tuned.bits(keys).sum() > lm.Mixer.fresh(table).bits(keys).sum()
 
 
+def test_every_training_text_is_counted_whole(spark):
+    rng = random.Random(8)
+    docs = [(i, sentence(rng, "en", 600), "en", "s") for i in range(80)]
+    got = lm.score_documents(spark.createDataFrame(docs, DOCS)).collect()
+    assert max(r.bits_per_byte for r in got if not r.held_out) < min(r.bits_per_byte for r in got if r.held_out)
+
+
+def test_weights_are_learned_from_whole_texts(spark):
+    rng = random.Random(9)
+    cells = cells_of([sentence(rng, "en", 60) for _ in range(20)])
+    texts = [sentence(rng, "en", 300) for _ in range(6)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "draw long, text string")
+    learned = lm.learn_weights(df.repartition(3), cells).weights()
+    assert (learned == lm.learn_weights(df.coalesce(1), cells).weights()).all()
+    assert (learned == lm.tune(cells, [lm.fold(t) for t in texts]).weights()).all()
+
+
 def test_run_keys():
     keys = lm.run_keys([b"ab", b"", b"c"])
     assert [int(k) for k in keys] == [0x61, 0x6162, 0x6162FF, 0xFF, 0x63, 0x63FF]
