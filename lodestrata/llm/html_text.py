@@ -2,7 +2,9 @@
 
 A page is parsed to a tree (tolerantly: unclosed and crossed tags, raw-text elements, truncated
 markup). Elements that are never article text (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, reader comments) are cut by tag, role or class. For every node left, the composite
+forms, scripts, reader comments) are cut by tag, role or class. A class or id only cuts by what it names
+(cookie-notice, sidebar-left; not has-sidebar or comments-open), and never an element outside which no
+article or main lies and which holds one, or more than half of the page's text. For every node left, the composite
 density is characters per tag, adjusted by the share of linked text against the share in the body; a
 node's density sum adds up its children's densities. The subtree with the largest sum is chosen; the
 least density on the path from the body to it is the threshold by which other subtrees are kept as
@@ -37,6 +39,10 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars footer comment comments reply replies disqus notice notices cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay related share sharing social widget login signup masthead toolbar pagination pager".split()
 )
+#: A class cuts by its last piece, or by its first where only these and numbers follow; not after a piece that tells of a state.
+CUT_NOUNS = frozenset("area articles bar block body bottom box button buttons center col column container content form frame group header heading holder icon icons inner item items label left link links list main message news outer panel placeholder posts right row section slot space stories text thread title top unit wrap wrapper zone".split())
+STATES = frozenset("has have is no non not hide show with without".split())
+NUMBER = re.compile(r"\d+(?:x\d+)?")
 CUT_OUTSIDE = frozenset({"header"})
 NEVER_CUT = frozenset({"html", "body", "article", "main"})
 CLOSED_BY = {
@@ -57,31 +63,64 @@ ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "cut")
+    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "cut", "named")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool) -> None:
-        self.tag, self.parent, self.cut, self.children = tag, parent, cut, []
+    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool = False) -> None:
+        self.tag, self.parent, self.cut, self.named, self.children = tag, parent, cut, named, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _cut(tag: str, attrs: str, stack: list[Node]) -> bool:
+def _names_cut(value: str) -> bool:
+    """Whether a class or id names what is not article text."""
+    for token in value.split():
+        pieces = [x for x in re.split(r"[_\-:]+", token) if x]
+        if not pieces or not STATES.isdisjoint(pieces[:-1]):
+            continue
+        while len(pieces) > 1 and (pieces[-1] in CUT_NOUNS or NUMBER.fullmatch(pieces[-1])):
+            pieces.pop()
+        if pieces[-1] in CUT_WORDS:
+            return True
+    return False
+
+
+def _cut(tag: str, attrs: str, stack: list[Node]) -> tuple[bool, bool]:
+    """Whether an element is cut, and whether only its name says so."""
     if tag in NEVER_CUT:
-        return False
+        return False, False
     if tag in CUT_TAGS:
-        return True
+        return True, False
     if tag in CUT_OUTSIDE and not any(n.tag in ("article", "main") for n in stack):
-        return True
+        return True, False
+    named = False
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id") and not CUT_WORDS.isdisjoint(re.split(r"[\s_\-:]+", value)):
-                return True
+            if name in ("class", "id"):
+                named = named or _names_cut(value)
             if name == "role" and value.strip() in CUT_ROLES:
-                return True
+                return True, False
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-    return False
+                return True, False
+    return False, named
+
+
+def _cut_named(root: Node) -> None:
+    """Cut the elements named as no article text, but for those that the article must lie in."""
+    order = _post_order(root)
+    if not any(n.named for n in order):
+        return
+    chars, articles = {}, {}
+    for n in order:
+        inner = [c for c in n.children if c.__class__ is Node]
+        chars[id(n)] = sum(chars[id(c)] for c in inner) + sum(len("".join(c.split())) for c in n.children if c.__class__ is str)
+        articles[id(n)] = sum(articles[id(c)] for c in inner) + (n.tag in ("article", "main"))
+    all_chars, all_articles = chars[id(root)], articles[id(root)]
+    for n in order:
+        if n.named and not (articles[id(n)] == all_articles and (all_articles or 2 * chars[id(n)] > all_chars)):
+            n.cut = True
+    for n in order:
+        n.children = [c for c in n.children if c.__class__ is str or not c.cut]
 
 
 def parse(page: str) -> Node:
@@ -129,7 +168,8 @@ def parse(page: str) -> Node:
             if not i:
                 break
         top = stack[-1]
-        node = Node(tag, top, top.cut or _cut(tag, m[3], stack))
+        cut, named = (True, False) if top.cut else _cut(tag, m[3], stack)
+        node = Node(tag, top, cut, named)
         if not node.cut:
             top.children.append(node)
         if tag in RAW:
@@ -139,6 +179,7 @@ def parse(page: str) -> Node:
             stack.append(node)
         elif tag not in VOID and tag not in ("svg", "math", "path"):
             stack.append(node)  # a slash does not close an HTML element
+    _cut_named(root)
     return root
 
 

@@ -197,6 +197,17 @@ def test_tolerant_parsing(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "comments-open", "ad-free", "social-share-enabled", "menu-open", "sidebar", "widget"])
+def test_a_class_does_not_cut_what_the_article_lies_in(name):
+    page = f"<body><div class='{name}'>{{}}<div class='cookie-notice'>We use</div><div id=ad-300x250>Buy</div></div><div class=sidebar-left>Side</div></body>"
+    assert html_text.main_text(page.format("<article><p>The story.</p><p>Goes on.</p><section class=comments><article>First!</article></section></article>")) == "The story. Goes on."
+    assert html_text.main_text(page.format("<p>The story without tags.</p><p>Goes on and on.</p>")) == "The story without tags. Goes on and on."
+
+
+def test_a_long_thread_of_comments_is_cut_beside_an_article():
+    assert html_text.main_text(f"<body><article><p>The story.</p></article><section class=comments>{'<article><p>A comment.</p></article>' * 50}</section></body>") == "The story."
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert len(html_text.main_text("<p>word word</p>" * 20_000)) == 20_000 * 10 - 1
