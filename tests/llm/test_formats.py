@@ -342,6 +342,24 @@ def test_weights_are_learned_from_whole_texts(spark):
     assert (learned == lm.tune(cells, [lm.fold(t) for t in texts]).weights()).all()
 
 
+def test_cells_grow_with_the_contexts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CELL_BITS", 10)
+    rng = random.Random(4)
+    for n in (20, 200):
+        texts = [sentence(rng, "en", 60) for _ in range(n)]
+        runs = lm.byte_runs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+        keys = np.unique(lm.run_keys([lm.fold(t) for t in texts]))
+        byte, context = (keys & np.uint64(255)).astype(np.int64), lm.contexts(keys)
+        sizes = lm.cell_sizes(runs)
+        for i, bits in enumerate(sizes):
+            counted = len(np.unique(np.concatenate([lm.cell_hash(context[i], i, (1 << d) | (byte >> (8 - d))) for d in range(8)])))
+            assert bits == 10 or 0.8 * lm.FILL * counted < 1 << bits < 2.5 * lm.FILL * counted
+            assert bits > 10 or lm.FILL * counted <= 1.2 * 1024
+        table = lm.cells_of_runs(runs, sizes)
+        ids, n0, n1 = lm.expand(*np.unique(lm.run_keys([lm.fold(t) for t in texts]), return_counts=True), sizes)
+        assert (table[ids] == lm.quantise(n0, n1)).all() and (table != lm.EMPTY).sum() <= len(ids) and len(table) == sum(1 << b for b in sizes)
+
+
 def test_run_keys():
     keys = lm.run_keys([b"ab", b"", b"c"])
     assert [int(k) for k in keys] == [0x61, 0x6162, 0x6162FF, 0xFF, 0x63, 0x63FF]
