@@ -32,12 +32,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no more than its tasks."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+def staged_at(df: DataFrame, path: str) -> DataFrame:
+    """Write a table to a folder of ours and read it back: lineage ends there, so a lost executor costs no more than its tasks."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    return staged_at(df, scratch(df.sparkSession, name))
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
