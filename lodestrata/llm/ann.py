@@ -3,9 +3,10 @@
 Each vector is projected on PROJECTIONS random directions; for every direction the projections of a
 block of vectors are kept in a sorted array. A query is projected alike; in every array a window
 centred on the query's projection is widened round by round (virtual rehashing: the window of a larger
-radius holds that of a smaller one). A vector that falls into the windows of at least a share ALPHA of
-the directions is verified by its true inner product. A query's search in a block ends when the window
-radius has reached the distance at which no better vector is expected, see `enough`.
+radius holds that of a smaller one), and only the places that a round opens at the two ends are walked
+and counted. A vector that falls into the windows of at least a share ALPHA of the directions is
+verified by its true inner product. A query's search in a block ends when the window radius has reached
+the distance at which no better vector is expected, see `search`.
 
 Largest inner product is nearest distance after one more component is added to every vector, which
 brings all to the largest norm; queries get 0 there.
@@ -29,16 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, staged
+from .common import batches_of, done, staged
 
 K = 20
-PROJECTIONS = 64
-#: Share of the directions in whose windows a vector must fall to be verified.
-ALPHA = 0.5
-#: The first radius, as a share of the radius at which a search may end, and its growth.
-FIRST, GROWTH = 0.6, 1.2
+PROJECTIONS = 128
+#: Share of the directions in whose windows a vector must fall to be verified. Wide windows tell near from far best: what
+#: lies outside is rare for the near, and few places are walked.
+ALPHA = 0.85
+#: The first radius, as a share of that at which a vector without any likeness is expected to pass, and its growth.
+FIRST, GROWTH = 0.6, 1.08
 #: Standard deviations of safety in the test that ends a search.
-SAFETY = 1.5
+SAFETY = 1.6
 BLOCK_BYTES = 8 << 20
 #: Vectors of a block and queries of a chunk, at most about.
 BLOCK_ROWS, CHUNK_ROWS = 32_000, 256
@@ -61,54 +63,61 @@ def exact(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (vectors.astype(np.float64) * q).sum(axis=1)
 
 
+def places(arrays: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of a value in each sorted array, before equal ones."""
+    rows = np.arange(len(arrays))
+    low, high = np.zeros(len(arrays), np.int64), np.full(len(arrays), arrays.shape[1], np.int64)
+    for _ in range(arrays.shape[1].bit_length()):
+        mid = (low + high) >> 1
+        less = (low < high) & (arrays[rows, np.minimum(mid, arrays.shape[1] - 1)] < values)
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+    return low
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, top_norm: float, k: int = K, projections: int = PROJECTIONS, safety: float = SAFETY):
-    """For each query (position, vec_ids, scores) of the best k found in this block of at most 65,535 vectors.
+    """For each query (position, vec_ids, scores, vectors verified) of the best k found in this block.
 
     A vector at distance d from the query has projections normal around the query's with deviation d,
     so a window of half-width w holds it in a share P(|N| < w/d) of the directions. It is expected to
     pass the threshold ALPHA once w reaches d times the matching quantile; `safety` deviations of the
-    share's spread are added. The search ends when this holds for the distance of the k-th best found.
+    share's spread are added. The search ends when this holds for the distance of the k-th best found;
+    once k are found, the radius grows no further than that.
 
-    A window is a run of places in a sorted array, found by binary search; a vector collides where its
-    place lies in the run, which one unsigned comparison of places tells for all directions at once.
+    The first windows hold most of a block, so what lies outside them is walked and taken from the
+    number of directions; every later round walks what it opens.
     """
     wide = vectors.astype(np.float64)
     extra = np.sqrt(np.maximum(0.0, top_norm**2 - (wide * wide).sum(axis=1)))
     a = directions(vectors.shape[1] + 1, projections)
-    own = np.concatenate([wide, extra[:, None]], axis=1) @ a.T
+    own = (np.concatenate([wide, extra[:, None]], axis=1) @ a.T).T
     del wide
     probe = queries.astype(np.float64) @ a[:, :-1].T
-    n, m = own.shape
-    order = np.argsort(own, axis=0, kind="stable")
-    arrays = np.ascontiguousarray(np.take_along_axis(own, order, axis=0).T)
-    places = np.empty((m, n), np.uint16)
-    for j in range(m):
-        places[j, order[:, j]] = np.arange(n, dtype=np.uint16)
-    del own, order
+    m, n = own.shape
+    order = np.argsort(own, axis=1, kind="stable")
+    arrays = np.take_along_axis(own, order, axis=1)
+    del own
     need = int(np.ceil(ALPHA * m))
     widen = centred_share(min(0.999, ALPHA + safety * np.sqrt(ALPHA * (1 - ALPHA) / m)))
     norms2 = (queries.astype(np.float64) ** 2).sum(axis=1)
-    # Distances lie between 0 and sqrt(|q|^2 + M^2) for products of 0 and more; windows grow from a share of that.
-    radii = np.sqrt(norms2 + top_norm**2)[:, None] * widen * FIRST * GROWTH ** np.arange(int(np.ceil(np.log(6 / FIRST) / np.log(GROWTH))))[None, :]
-    low, high = np.empty((m, *radii.shape), np.int32), np.empty((m, *radii.shape), np.int32)
-    for j in range(m):
-        low[j] = np.searchsorted(arrays[j], (probe[:, j, None] - radii).ravel(), "left").reshape(radii.shape)
-        high[j] = np.searchsorted(arrays[j], (probe[:, j, None] + radii).ravel(), "right").reshape(radii.shape)
+
+    def walked(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        parts = [order[j, s:e] for j, (s, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)) if s < e]
+        return np.bincount(np.concatenate(parts), minlength=n) if parts else np.zeros(n, np.int64)
+
     for i in range(len(queries)):
         q = queries[i].astype(np.float64)
         q_own = queries[i].astype(vectors.dtype)
         slack = 1e-4 * np.sqrt(norms2[i]) * top_norm
-        done = ids == query_ids[i]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        for r in range(radii.shape[1] + 1):
-            if r < radii.shape[1]:
-                lo, width = low[:, i, r], high[:, i, r] - low[:, i, r]
-                collides = (places - lo[:, None].astype(np.uint16)) < np.minimum(width, 65535)[:, None].astype(np.uint16)
-                fresh = np.flatnonzero((collides.sum(axis=0, dtype=np.uint16) >= need) & ~done)
-            else:  # the widest windows did not end the search: what is left is verified too
-                fresh = np.flatnonzero(~done)
+        open_to = ids != query_ids[i]
+        best_ids, best, verified = np.zeros(0, np.int64), np.zeros(0), 0
+        radius = FIRST * widen * np.sqrt(norms2[i] + top_norm**2)
+        low, high = places(arrays, probe[i] - radius), places(arrays, np.nextafter(probe[i] + radius, np.inf))
+        hits = m - walked(np.zeros(m, np.int64), low) - walked(high, np.full(m, n))
+        while True:
+            fresh = np.flatnonzero((hits >= need) & open_to)
             if len(fresh):
-                done[fresh] = True
+                open_to[fresh] = False
+                verified += len(fresh)
                 if len(fresh) > 4 * k:  # a quick product first; whatever may be among the best k is computed exactly
                     quick = vectors[fresh] @ q_own
                     fresh = fresh[quick >= np.partition(quick, len(quick) - k)[len(quick) - k] - slack]
@@ -117,18 +126,20 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
                 if len(best) > k:
                     top = np.lexsort((best_ids, -best))[:k]
                     best_ids, best = best_ids[top], best[top]
-            if done.all() or r < radii.shape[1] and enough(best, k, norms2[i], top_norm, radii[i, r], widen):
+            if not open_to.any():
                 break
+            grown = radius * GROWTH
+            if len(best) >= k:
+                target = widen * np.sqrt(max(0.0, norms2[i] + top_norm**2 - 2 * best.min()))
+                if radius >= target:
+                    break
+                grown = min(grown, target)
+            radius = grown
+            wider_low, wider_high = places(arrays, probe[i] - radius), places(arrays, np.nextafter(probe[i] + radius, np.inf))
+            hits += walked(wider_low, low) + walked(high, wider_high)
+            low, high = wider_low, wider_high
         top = np.lexsort((best_ids, -best))[:k]
-        yield i, best_ids[top], best[top]
-
-
-def enough(best: np.ndarray, k: int, norm2: float, top_norm: float, radius: float, widen: float) -> bool:
-    """Whether a vector nearer than the k-th best would be expected among the verified at this radius."""
-    if len(best) < k:
-        return False
-    kth = best[np.argsort(-best)[k - 1]]
-    return radius >= widen * np.sqrt(max(0.0, norm2 + top_norm**2 - 2 * kth))
+        yield i, best_ids[top], best[top], verified
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -150,14 +161,14 @@ def pack(rows: DataFrame, dims: int, blocks: int, salt: str, kind: str) -> DataF
         order = np.argsort(ids, kind="stable")
         return pa.table({"block": group.column("block").slice(0, 1), "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([data[order].tobytes()], pa.binary())})
 
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(blocks)).cast("int"))
+    # Rows alike in all are dealt out too: the table is staged, so a row's number stays with it.
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(salt), F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     return placed.select("block", "vec_id", "v").groupBy("block").applyInArrow(join, "block int, ids binary, data binary")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each query, a query's own id left out."""
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
     all_rows = staged(usable(vectors, id_column, vector_column), "ann-vectors")
     wanted = staged(usable(queries, id_column, vector_column), "ann-queries")
     kind = "<f4" if "float" in dict(all_rows.dtypes)["v"] and "float" in dict(wanted.dtypes)["v"] else "<f8"
@@ -167,10 +178,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, id_column: st
     dims, norm = max(bounds["dims"] or 1, probes["dims"] or 1), bounds["norm"] or 0.0
     n_blocks = max(1, -(-(bounds["n"] * dims * int(kind[-1])) // BLOCK_BYTES), -(-bounds["n"] // BLOCK_ROWS))
     n_chunks = max(1, -(-probes["n"] // CHUNK_ROWS))
-    packed = pack(all_rows, dims, n_blocks, "v", kind)
+    packed = staged(pack(all_rows, dims, n_blocks, "v", kind), "ann-blocks")
     # Each chunk of queries goes to every block of vectors: the stated query set against all rows.
     chunks = pack(wanted, dims, n_chunks, "q", kind).select(F.col("block").alias("chunk"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    meetings = staged(chunks, "ann-chunks").join(staged(packed, "ann-blocks"), "block")
+    chunks = staged(chunks, "ann-chunks")
+    meetings = chunks.join(packed, "block")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
@@ -178,11 +190,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, id_column: st
             for i in range(b.num_rows):
                 ids, data, qids, qdata = (b.column(x)[i].as_py() for x in ("ids", "data", "query_ids", "query_data"))
                 qids = np.frombuffer(qids, np.int64)
-                found = list(search(np.frombuffer(qdata, kind).reshape(-1, dims), qids, np.frombuffer(data, kind).reshape(-1, dims), np.frombuffer(ids, np.int64), norm, k))
+                found = [x[:3] for x in search(np.frombuffer(qdata, kind).reshape(-1, dims), qids, np.frombuffer(data, kind).reshape(-1, dims), np.frombuffer(ids, np.int64), norm, k)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(x), qids[j]) for j, x, _ in found])), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], schema=schema)
 
-    small_batches(spark, 1)
-    parts = staged(meetings.repartition(max(1, min(n_blocks * n_chunks, 8192)), "block", "chunk").select("ids", "data", "query_ids", "query_data").mapInArrow(run, FOUND), "ann-found")
-    small_batches(spark)
+    with batches_of(spark, 1):
+        parts = staged(meetings.repartition(max(1, min(n_blocks * n_chunks, 8192)), "block", "chunk").select("ids", "data", "query_ids", "query_data").mapInArrow(run, FOUND), "ann-found")
+    done(all_rows, wanted, packed, chunks)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(own).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

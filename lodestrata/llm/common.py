@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,18 +34,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
 
 
-def staged_at(df: DataFrame, path: str) -> DataFrame:
-    """Write a table to a folder of ours and read it back: lineage ends there, so a lost executor costs no more than its tasks."""
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no more than its tasks."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    return staged_at(df, scratch(df.sparkSession, name))
+def done(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            drop_scratch(t.sparkSession, path)
+
+
+ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lower the session's Arrow batch size to what whole texts bear. It stays so, as lazy tables read it when they run."""
+    if not 0 < int(spark.conf.get(ARROW_CONF)) <= rows:
+        spark.conf.set(ARROW_CONF, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another Arrow batch size for what runs inside, put back after it."""
+    before = spark.conf.get(ARROW_CONF)
+    spark.conf.set(ARROW_CONF, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_CONF, before)
 
 
 def remainder(key: Column) -> Column:
