@@ -125,29 +125,54 @@ def format_chats(conversations: DataFrame, template: Template = INST) -> DataFra
     return ordered.select("conv_id", "role", "text").mapInArrow(lambda batches: _batches(segments_of(_rows(batches, "conv_id", "role", "text"), template), _SEGMENT_ARROW), SEGMENTS)
 
 
+class Reader:
+    """Parses formatted text, piece by piece, by its control strings alone: an opening, a text, the closing that belongs to it."""
+
+    def __init__(self, t: Template) -> None:
+        self.t, self.held, self.learned, self.mark = t, "", [], None
+        self.roles = {v: k for k, v in t.before.items()}
+
+    def feed(self, piece: str, loss: bool) -> Iterator[tuple[str, str, str]]:
+        """(role, text, learned text) of every turn that the piece ends."""
+        t = self.t
+        self.learned.append((len(self.held), len(piece), loss))
+        self.held += piece
+        while True:
+            if self.mark is None:
+                self.mark = next((m for m in sorted(self.roles, key=len, reverse=True) if self.held.startswith(m)), None)
+                if self.mark is None:
+                    if len(self.held) >= max(map(len, self.roles)):
+                        raise ValueError(f"no turn begins with {self.held[:20]!r}")
+                    return
+            end = t.after[self.roles[self.mark]]
+            at = self.held.find(end, len(self.mark))
+            if at < 0:
+                return
+            role, body, begin = self.roles[self.mark], self.held[len(self.mark) : at], len(self.mark)
+            if role == "*":
+                name, _, body = body.partition(ROLE_END)
+                role, begin = t.plain(name), begin + len(name) + len(ROLE_END)
+            # What the mask covers of the turn's text.
+            covered = "".join(self.held[max(begin, s) : min(at, s + n)] for s, n, x in self.learned if x and s < at and s + n > begin)
+            yield role, t.plain(body), t.plain(covered)
+            cut = at + len(end)
+            self.held, self.mark = self.held[cut:], None
+            self.learned = [(max(0, s - cut), s + n - max(cut, s), x) for s, n, x in self.learned if s + n > cut]
+
+
 def read_turns(segments: Iterator[tuple], t: Template) -> Iterator[tuple]:
-    """Parse the formatted text itself: (conv_id, role, text, loss text or None) per turn, then (conv_id, None, error, formatted chars)."""
-    opening = {v: k for k, v in t.before.items() if k != "*"}
-    held, losses, chars = "", "", 0
+    """(conv_id, role, text, learned text) per turn of the formatted text, then (conv_id, None, error, formatted chars)."""
+    reader, chars = Reader(t), 0
     for conv, _, part, segment, loss, error in segments:
-        chars += len(segment)
-        if part < 2:
-            held += segment
-            losses += segment if loss else ""
-        elif part == 2:  # a whole turn has come: find its role and text by the control strings alone
-            held += segment
-            mark = next(m for m in (*opening, t.before["*"]) if held.startswith(m))
-            if mark in opening:
-                role, body = opening[mark], held[len(mark) :]
-            else:
-                name, _, body = held[len(mark) :].partition(ROLE_END)
-                role = t.plain(name)
-            body = body.removesuffix(t.after.get(role if mark in opening else "*", ""))
-            yield conv, role, t.plain(body), t.plain(losses) if role in t.learned else None
-            held = losses = ""
-        else:
+        if part == 3:  # the verdict, which ends a conversation
+            if reader.held:
+                raise ValueError(f"conversation {conv} ends inside a turn: {reader.held[:20]!r}")
             yield conv, None, error, chars
-            chars = 0
+            reader, chars = Reader(t), 0
+        else:
+            chars += len(segment)
+            for role, text, learned in reader.feed(segment, loss):
+                yield conv, role, text, learned
 
 
 def digest_chats(segments: DataFrame, template: Template = INST) -> DataFrame:
@@ -161,11 +186,10 @@ def digest_chats(segments: DataFrame, template: Template = INST) -> DataFrame:
                     yield conv, n, turns.hexdigest(), k, learned.hexdigest(), loss, text is None, text
                     turns, learned, n, k = hashlib.sha256(), hashlib.sha256(), 0, 0
                 else:
-                    turns.update(f"{role}\n{text}\n".encode())
+                    turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                     n += 1
-                    if loss is not None:
-                        learned.update(loss.encode())
-                        k += len(loss)
+                    learned.update(loss.encode("utf-8", "surrogatepass"))
+                    k += len(loss)
 
         return _batches(rows(), _DIGEST_ARROW)
 

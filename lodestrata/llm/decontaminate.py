@@ -6,12 +6,14 @@ training texts are looked up, and around each hit the item and the text are comp
 the hit's diagonal: the best segment (a match counts +1, a substitution -PENALTY) must hold at least
 min(MIN_WORDS, MIN_SHARE of the item's words) matching words.
 
-The index is broadcast in parts of at most PART_WORDS item words each; a larger benchmark is scanned
-in several parts, so nothing broadcast grows with it. Training texts are never shuffled.
+The index is broadcast in parts of at most about PART_WORDS item words each; a larger benchmark is
+scanned in several parts, so nothing broadcast grows with it. Training texts are never shuffled. Hits are
+expanded HITS at a time and kept as one entry for each diagonal of a text and an item, so texts and items
+of few words repeated over and over take memory by their lengths, not by the product of them.
 
 Defined cases: null and empty texts and items have no words; an item shorter than the lightest mask
-is never found (too short to tell a leak from chance); equal items are each reported; of equal best
-segments the first in the text counts; repeated rows are reported each; a null doc_id or item_id is
+is never found (too short to tell a leak from chance); items alike in text are each reported, rows alike
+in item_id and text are one item; of equal best segments the first in the text counts; repeated rows are reported each; a null doc_id or item_id is
 reported as null; an empty benchmark finds nothing.
 """
 
@@ -35,6 +37,8 @@ MIN_SHARE = 0.8
 PENALTY = 2
 PART_WORDS = 400_000
 FILTER_BITS = 20
+#: Pairs of a text's place and an item's place that are looked at together.
+HITS = 1 << 21
 PAIRS = "doc_id long, item_id long, n_matched int, n_aligned int, item_words int, first_word int"
 
 _OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
@@ -100,6 +104,11 @@ def best_segment(same: np.ndarray) -> tuple[int, int, int]:
     return int(same[start:end].sum()), start, end
 
 
+def different(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def needed(n: int) -> int:
     return min(MIN_WORDS, math.ceil(MIN_SHARE * n))
 
@@ -118,24 +127,28 @@ def leaks(texts: list[str | None], index: Index) -> list[dict[int, tuple[int, in
         parts += [np.fromiter((number(x, 0) for x in w), np.int32, len(w)), gap]
         at += len(w) + len(gap)
     words, starts = np.concatenate(parts), np.array([*starts, at], np.int64)
-    hits = []
+    found = np.zeros(0, np.int64)  # text, item and shift in one number each
+    span = len(words) + len(index.words) + 1
     for m in range(len(MASKS)):
         h = seed_hashes(words, m)
         pos = np.flatnonzero(index.maybe[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & (h != 0))
         low = np.searchsorted(index.seeds, h[pos], "left")
-        high = np.searchsorted(index.seeds, h[pos], "right")
-        n = high - low
+        n = np.searchsorted(index.seeds, h[pos], "right") - low
         pos, low, n = pos[n > 0], low[n > 0], n[n > 0]
-        if len(pos):
-            which = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            place = index.places[which]
-            where = np.repeat(pos, n)
+        ends = np.cumsum(n)
+        s = 0
+        while s < len(pos):
+            e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + HITS, "right")))
+            times = n[s:e]
+            which = np.repeat(low[s:e] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            place, where = index.places[which], np.repeat(pos[s:e], times)
             text = np.searchsorted(starts, where, "right") - 1
             item = np.searchsorted(index.starts, place, "right") - 1
-            hits.append(np.stack([text, item, where - place], axis=1))
-    if not hits:
-        return out
-    for text, item, shift in np.unique(np.concatenate(hits), axis=0):
+            found = different(np.concatenate([found, (text * len(index.ids) + item) * span + (where - place + len(index.words))]))
+            s = e
+    pairs, shifts = np.divmod(found, span)
+    hits = zip((pairs // len(index.ids)).tolist(), (pairs % len(index.ids)).tolist(), (shifts - len(index.words)).tolist(), strict=True)
+    for text, item, shift in hits:
         s, e = index.starts[item], index.starts[item + 1]
         lo, hi = max(s, starts[text] - shift), min(e, starts[text + 1] - len(gap) - shift)
         same = words[lo + shift : hi + shift] == index.words[lo:hi]
@@ -150,7 +163,7 @@ def leaks(texts: list[str | None], index: Index) -> list[dict[int, tuple[int, in
 
 def index_parts(benchmark: DataFrame, part_words: int = PART_WORDS) -> list[Index]:
     """Indexes of at most about part_words words each; one large item is a part of its own at worst."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
     n = max(1, math.ceil(total / 4 / part_words))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))

@@ -1,14 +1,19 @@
 """Main text of a page by composite text density.
 
 A page is parsed to a tree (tolerantly: unclosed and crossed tags, raw-text elements, truncated
-markup). Elements that are never article text (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, reader comments) are cut by tag, role or class. A class or id only cuts by what it names
-(cookie-notice, sidebar-left; not has-sidebar or comments-open), and never an element outside which no
-article or main lies and which holds one, or more than half of the page's text. For every node left, the composite
-density is characters per tag, adjusted by the share of linked text against the share in the body; a
-node's density sum adds up its children's densities. The subtree with the largest sum is chosen; the
-least density on the path from the body to it is the threshold by which other subtrees are kept as
-well. If the chosen node lies in an <article> or <main>, that element is taken whole.
+markup). What is never shown as text (head, scripts, styles, templates, hidden elements, form controls)
+is left out. For every node of the rest, the composite density is characters per tag, adjusted by the
+share of linked text against the share in the body; a node's density sum adds up its children's
+densities. The subtree with the largest sum is chosen, and the least density on the path from the body
+down to it is the threshold: what stands beside that path is kept where its own density reaches it.
+
+Elements that say of themselves that they are no article text are never chosen and are left out of what
+is chosen, but count in the densities: menus, footers, sidebars, forms and page headers by tag or role,
+and containers (not paragraphs, headings, lists' items or cells) by a class or id that names a notice,
+an advert, reader comments and the like (cookie-notice, sidebar-left; not has-sidebar or comments-open).
+A name never leaves out an element outside which no article or main lies and which holds one, or more
+than half of the page's text. Two things are kept whole with the chosen subtree: the <article> that it
+lies in, and headings right beside kept blocks below the body.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one space. Nothing else is dropped or capped.
@@ -34,7 +39,8 @@ from .common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-CUT_TAGS = frozenset("head script style noscript template title nav footer aside form button select option textarea input iframe svg canvas object menu dialog noembed noframes xmp".split())
+UNSEEN = frozenset("head script style noscript template title button select option textarea input iframe svg canvas object noembed noframes xmp".split())
+CUT_TAGS = frozenset("nav footer aside form menu dialog".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars footer comment comments reply replies disqus notice notices cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay related share sharing social widget login signup masthead toolbar pagination pager".split()
@@ -45,6 +51,9 @@ STATES = frozenset("has have is no non not hide show with without".split())
 NUMBER = re.compile(r"\d+(?:x\d+)?")
 CUT_OUTSIDE = frozenset({"header"})
 NEVER_CUT = frozenset({"html", "body", "article", "main"})
+#: Text of these is the article's whatever their names.
+NEVER_NAMED = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre code figure figcaption li dt dd td th tr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()),
     "li": frozenset({"li"}),
@@ -63,10 +72,10 @@ ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "cut", "named")
+    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "cut", "named", "unseen")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool = False) -> None:
-        self.tag, self.parent, self.cut, self.named, self.children = tag, parent, cut, named, []
+    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool = False, unseen: bool = False) -> None:
+        self.tag, self.parent, self.cut, self.named, self.unseen, self.children = tag, parent, cut, named, unseen, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -84,54 +93,52 @@ def _names_cut(value: str) -> bool:
     return False
 
 
-def _cut(tag: str, attrs: str, stack: list[Node]) -> tuple[bool, bool]:
-    """Whether an element is cut, and whether only its name says so."""
+def _cut(tag: str, attrs: str, stack: list[Node]) -> tuple[bool, bool, bool]:
+    """Whether an element is no article text, whether only its name says so, and whether it is not shown at all."""
     if tag in NEVER_CUT:
-        return False, False
-    if tag in CUT_TAGS:
-        return True, False
-    if tag in CUT_OUTSIDE and not any(n.tag in ("article", "main") for n in stack):
-        return True, False
+        return False, False, False
+    if tag in UNSEEN:
+        return True, False, True
+    cut = tag in CUT_TAGS or tag in CUT_OUTSIDE and not any(n.tag in ("article", "main") for n in stack)
     named = False
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                named = named or _names_cut(value)
+                named = named or tag not in NEVER_NAMED and _names_cut(value)
             if name == "role" and value.strip() in CUT_ROLES:
-                return True, False
+                cut = True
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True, False
-    return False, named
+                return True, False, True
+    return cut, named and not cut, False
 
 
 def _cut_named(root: Node) -> None:
-    """Cut the elements named as no article text, but for those that the article must lie in."""
+    """Mark the elements named as no article text, but for those that the article must lie in."""
     order = _post_order(root)
     if not any(n.named for n in order):
         return
     chars, articles = {}, {}
     for n in order:
         inner = [c for c in n.children if c.__class__ is Node]
+        inner = [c for c in inner if not c.cut]
         chars[id(n)] = sum(chars[id(c)] for c in inner) + sum(len("".join(c.split())) for c in n.children if c.__class__ is str)
         articles[id(n)] = sum(articles[id(c)] for c in inner) + (n.tag in ("article", "main"))
     all_chars, all_articles = chars[id(root)], articles[id(root)]
     for n in order:
         if n.named and not (articles[id(n)] == all_articles and (all_articles or 2 * chars[id(n)] > all_chars)):
             n.cut = True
-    for n in order:
-        n.children = [c for c in n.children if c.__class__ is str or not c.cut]
 
 
 def parse(page: str) -> Node:
-    """The tree under a root node; text is kept as strings among the children. What lies in a cut element is not kept."""
+    """The tree under a root node; text is kept as strings among the children. What is not shown is not kept; what is no article text is marked."""
     root = Node("#root", None, False)
     stack = [root]
     at, size = 0, len(page)
 
     def text(s: str) -> None:
         top = stack[-1]
-        if s and not top.cut:
+        if s and not top.unseen:
             top.children.append(html.unescape(s) if "&" in s else s)
 
     while at < size:
@@ -168,9 +175,8 @@ def parse(page: str) -> Node:
             if not i:
                 break
         top = stack[-1]
-        cut, named = (True, False) if top.cut else _cut(tag, m[3], stack)
-        node = Node(tag, top, cut, named)
-        if not node.cut:
+        node = Node(tag, top, *((True, False, True) if top.unseen else _cut(tag, m[3], stack)))
+        if not node.unseen:
             top.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:/?>|\Z)", re.I).search(page, at)
@@ -215,7 +221,7 @@ def measure(root: Node) -> Node:
         base = math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + share * n.chars + math.e)
         n.density = max(0.0, plain * math.log(max(1.0, n.chars / linked * max(1, n.tags) / links)) / math.log(max(base, 1 + 1e-9))) if base > 1 + 1e-9 else plain
     for n in order:
-        n.sum = sum(c.density for c in n.children if c.__class__ is Node)
+        n.sum = sum(c.density for c in n.children if c.__class__ is Node and not c.cut)
     return body
 
 
@@ -225,49 +231,58 @@ def _best(top: Node) -> Node:
         n = todo.pop()
         if n.sum > best.sum:
             best = n
-        todo += [c for c in reversed(n.children) if c.__class__ is Node]
+        todo += [c for c in reversed(n.children) if c.__class__ is Node and not c.cut]
     return best
 
 
-def choose(body: Node) -> list[Node]:
-    """The subtrees to keep, in page order."""
+def choose(body: Node) -> list[Node | str]:
+    """What to keep, in page order: subtrees and bare text."""
     best = _best(body)
-    n, whole = best, None
-    while n is not None:
-        if n.tag in ("article", "main"):
+    threshold, n, whole = body.density, best, best
+    while n is not None and n is not body:
+        threshold = min(threshold, n.density)
+        if n.tag == "article":
             whole = n
         n = n.parent
-    if whole is not None:
-        return [whole]
-    threshold, n = math.inf, best
-    while n is not body and n is not None:
-        threshold, n = min(threshold, n.density), n.parent
-    threshold = min(threshold, body.density)
-    if best is body:
-        return [body]
-    path, n = set(), best
+    path, n = set(), whole
     while n is not None:
         path.add(id(n))
         n = n.parent
-    kept: list[Node] = []
-    behind: list[list[Node]] = []
+
+    def beside(parent: Node) -> list:
+        """Children of a node on the path: what is kept of them, and the one that the path goes through."""
+        kept = []
+        for c in parent.children:
+            if c.__class__ is str:
+                kept.append(c if len("".join(c.split())) >= max(1.0, threshold) else None)
+            else:
+                kept.append(c if id(c) in path or not c.cut and c.chars and c.density >= threshold else None)
+        if parent is not body:
+            for i, c in enumerate(parent.children):  # headings right beside what is kept
+                if c.__class__ is Node and c.tag in HEADINGS and not c.cut:
+                    after = next((k for k, x in zip(kept[i + 1 :], parent.children[i + 1 :], strict=True) if x.__class__ is Node or x.strip()), None)
+                    kept[i] = c if after is not None else kept[i]
+        return [c for c in kept if c is not None]
+
+    out: list[Node | str] = []
+    behind: list[list] = []
     node: Node | None = body
-    while node is not None:  # down the path; what stands beside it is kept whole
+    while node is not None and node is not whole:  # down the path
         inner, after = None, []
-        for c in node.children:
-            if c.__class__ is Node and c.chars and c.density >= threshold:
-                if id(c) in path and c is not best:
-                    inner = c
-                else:
-                    (kept if inner is None else after).append(c)
+        for c in beside(node):
+            if c.__class__ is Node and id(c) in path:
+                inner = c
+            else:
+                (out if inner is None else after).append(c)
         behind.append(after)
         node = inner
+    out.append(whole)
     for after in reversed(behind):
-        kept += after
-    return kept or [best]
+        out += after
+    return out
 
 
-def blocks(nodes: list[Node]) -> Iterator[str]:
+def blocks(nodes: list[Node | str]) -> Iterator[str]:
     held: list[str] = []
 
     def flush() -> Iterator[str]:
@@ -285,6 +300,8 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
                 yield from flush()
             elif n.__class__ is str:
                 held.append(n)
+            elif n.cut:
+                continue
             elif n.tag == "br":
                 held.append("\n")
             elif n.tag in INLINE:

@@ -6,12 +6,16 @@ describes it. Phrase counts are normalised by the logarithm of the automaton's t
 that name a phrase), which makes them an estimate of the cross entropy; the smallest wins, ties go to
 the smaller language name.
 
-Texts are folded to letters and single blanks. A parse runs in blocks of BLOCK symbols, each starting
+Texts are folded to letters and single blanks. Every letter that labelled text holds has a code of its
+own: one symbol each while there are few; else the commonest have one symbol, and the rarer two, three
+or four, by what language uses them most, so that a table stays narrow whatever the scripts. A parse
+runs in blocks of BLOCK symbols, each starting
 a new phrase; that is part of the measure and lets one step of numpy advance all blocks of a batch of
 documents at once, with a transition table per language whose size is a parameter.
 
-The labelled sample is bounded: SAMPLE_DOCS documents a language, one excerpt of EXCERPT characters
-each, taken at a hashed place. Prediction reads whole texts.
+The labelled sample is bounded: SAMPLE_DOCS different texts a language, one excerpt of EXCERPT characters
+each, taken at a hashed place; an automaton holds at most TRAIN symbols of it, fewer where the tables of
+all languages would not fit TABLE_BYTES. Prediction reads whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any labelled row
 everything is `und`; letters that no labelled text holds belong to no phrase in any language; null
@@ -31,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import kept_rows, remainder, small_batches
 
@@ -38,8 +43,9 @@ SAMPLE_DOCS = 96
 EXCERPT = 512
 #: Symbols of labelled text in an automaton, and the bytes of all tables together.
 TRAIN = 40_000
-TABLE_BYTES = 96 << 20
-ALPHABET = 62
+TABLE_BYTES = 160 << 20
+#: Symbols besides BLANK and STRANGE; where letters are more: letters of one symbol, and symbols that begin a code of two, three and four.
+SYMBOLS, SINGLES, LEADS = 62, 36, (12, 13, 1)
 BLOCK = 1024
 #: Symbols parsed at once.
 LANES = 4 << 20
@@ -99,28 +105,56 @@ def parsing_table(go: np.ndarray) -> np.ndarray:
 @dataclass
 class Parser:
     langs: list[str]
-    #: Symbol of each letter, by code point of the folded letter.
-    symbols: dict[str, int]
+    #: Symbols of each letter, by the folded letter.
+    symbols: dict[str, tuple[int, ...]]
     tables: list[np.ndarray]
     bits: list[float]
     alphabet: int
 
-    def lookup(self) -> np.ndarray:
-        """Symbol of every code point; letters outside the alphabet are STRANGE, all else is BLANK."""
-        out = np.zeros(sys.maxunicode + 1, np.uint8)
+    def lookup(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of every code point and how many there are; letters without a code are STRANGE, all else is BLANK."""
+        width = max([1, *map(len, self.symbols.values())])
+        out, sizes = np.zeros((sys.maxunicode + 1, width), np.uint8), np.ones(sys.maxunicode + 1, np.uint8)
         for cp in range(sys.maxunicode + 1):
             ch = chr(cp)
             if ch.isalpha():
-                low = ch.lower()
-                out[cp] = self.symbols.get(low[0], STRANGE)
+                code = self.symbols.get(ch.lower()[0], (STRANGE,))
             elif unicodedata.category(ch) == "Mn" and ch in self.symbols:
-                out[cp] = self.symbols[ch]
-        return out
+                code = self.symbols[ch]
+            else:
+                continue
+            out[cp, : len(code)], sizes[cp] = code, len(code)
+        return out, sizes
+
+
+def codes(letters: dict[str, dict[str, int]]) -> dict[str, tuple[int, ...]]:
+    """A code for each letter, from its counts by language. No code begins another."""
+    total = {c: sum(n.values()) for c, n in letters.items()}
+    common = sorted(letters, key=lambda c: (-total[c], c))
+    if len(common) <= SYMBOLS:
+        return {c: (i + 2,) for i, c in enumerate(common)}
+    out = {c: (i + 2,) for i, c in enumerate(common[:SINGLES])}
+    most = {c: min(n, key=lambda lang: (-n[lang], lang)) for c, n in letters.items()}
+    rest, lead = sorted(common[SINGLES:], key=lambda c: (most[c], -total[c], c)), SINGLES + 2
+    for more, leads in enumerate(LEADS, 1):
+        size = leads * SYMBOLS**more
+        for i, c in enumerate(rest[:size]):
+            tail = [i // SYMBOLS**k % SYMBOLS + 2 for k in range(more - 1, -1, -1)]
+            out[c] = (lead + i // SYMBOLS**more, *tail)
+        rest, lead = rest[size:], lead + leads
+    return out
 
 
-def fold(text: str, look: np.ndarray) -> np.ndarray:
+def fold(text: str, look: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Symbols of a text: runs of what is not a letter become one blank, none at the ends."""
-    s = look[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    table, sizes = look
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    s = table[:, 0][cp]
+    if table.shape[1] > 1 and len(cp):
+        n = sizes[cp]
+        if n.max() > 1:
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
+            s = table[np.repeat(cp, n), at]
     blank = s == BLANK
     keep = ~blank
     keep[1:] |= blank[1:] & ~blank[:-1]
@@ -171,15 +205,15 @@ def phrase_counts(texts: list[np.ndarray], parser: Parser) -> np.ndarray:
 
 def build(samples: dict[str, list[str]]) -> Parser:
     langs = sorted(samples)
-    letters: dict[str, int] = {}
-    for texts in samples.values():
-        for t in texts:
+    letters: dict[str, dict[str, int]] = {}
+    for name in langs:
+        for t in samples[name]:
             for ch in t.lower():
                 if ch.isalpha():
-                    letters[ch] = letters.get(ch, 0) + 1
-    common = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
-    symbols = {c: i + 2 for i, c in enumerate(common)}
-    alphabet = len(common) + 2
+                    of = letters.setdefault(ch, {})
+                    of[name] = of.get(name, 0) + 1
+    symbols = codes(letters)
+    alphabet = max([1, *(x for code in symbols.values() for x in code)]) + 1
     parser = Parser(langs, symbols, [], [], alphabet)
     if not langs:
         return parser
@@ -196,21 +230,20 @@ def build(samples: dict[str, list[str]]) -> Parser:
 
 
 def labelled_sample(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Excerpts of at most sample_docs documents a language, outside the held-out fifth, by the smallest keyed hash."""
+    """Excerpts of at most sample_docs documents a language, outside the held-out fifth: of different texts those with the smallest keyed hash."""
     own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 0)).withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1 << 30)))
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    # Twice the documents needed are expected below the bound; the exact number is taken after. Equal rows share a draw,
-    # hence the limit on what is read.
+    # Twice the documents needed are expected below the bound; the exact number is taken after, of different texts only.
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * 2 * sample_docs / n) + 1))])
-    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int")
-    drawn = own.where((F.col("draw") < bound[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).select("lang", "draw", F.col("doc_id").cast("string").alias("doc"), F.substring("text", F.lit(1) + start, F.lit(EXCERPT)).alias("part"))
-    rows = sorted(((r["lang"], r["draw"], r["doc"] or "", r["part"]) for r in drawn.limit(8 * sample_docs * len(counts)).collect()), key=lambda r: r)
+    start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int")
+    drawn = own.where((F.col("draw") < bound[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).select("lang", "draw", F.md5("text").alias("key"), F.substring("text", F.lit(1) + start, F.lit(EXCERPT)).alias("part"))
+    different = drawn.groupBy("lang", "key").agg(F.min("draw").alias("draw"), F.first("part").alias("part"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key"))
     out: dict[str, list[str]] = {}
-    for lang, _, _, part in rows:
-        if len(out.setdefault(lang, [])) < sample_docs:
-            out[lang].append(part)
+    for r in different.withColumn("nth", nth).where(F.col("nth") <= sample_docs).orderBy("lang", "nth").collect():
+        out.setdefault(r["lang"], []).append(r["part"])
     return out
 
 

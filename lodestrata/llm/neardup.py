@@ -7,10 +7,12 @@ consistent weighted samples of two sets agrees with probability equal to their w
 similarity (sum of minima over sum of maxima); BANDS of ROWS samples make bucket keys.
 
 Equal texts are put together first; all that follows is between different texts. In every bucket
-each member is verified against the smallest. Where the other members of a bucket still belong to
-several classes, they are compared block against block, blocks having a bounded size: pairs across
-classes are verified, most agreeing samples first, if their samples agree often enough that a pair at
-the threshold would be missed with probability under 1e-4. A pair found alike joins its classes at
+each member is verified against the smallest; both sides of that join lie in tables, so that a hot bucket
+can be split. Where the other members of a bucket still belong to several classes, they are compared
+block against block, blocks having a bounded size: pairs across classes are verified, most agreeing
+samples first, if their samples agree often enough that a pair at the threshold would be missed with
+probability under 1e-4. Samples alone meet first; texts travel only to the meetings in which a pair
+across classes agrees, and only those of the members that do. A pair found alike joins its classes at
 once, so a block yields the links of a spanning forest, not all pairs. Pairs are verified by the
 weighted Jaccard similarity of the whole texts. Classes are the connected components; no bucket,
 group or partner list is capped.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, small_batches, staged
+from .common import done, fresh, small_batches, staged
 from .words import SHINGLE, WordHashes, mix, shingles
 
 THRESHOLD = 0.8
@@ -211,7 +213,6 @@ def involved_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """(a, b) of the pairs whose weighted Jaccard similarity reaches the threshold."""
-    small_batches(pairs.sparkSession, 128)
     left = texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("text_key").alias("b"), F.col("text").alias("text_b"))
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -235,46 +236,59 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
 
 def star_pairs(members: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's smallest."""
-    lead = members.groupBy("bucket").agg(F.min("text_key").alias("a"))
+    lead = staged(members.groupBy("bucket").agg(F.min("text_key").alias("a")), "dup-leads")
     return members.join(lead, "bucket").where("text_key <> a").select("a", F.col("text_key").alias("b")).distinct()
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, text_key, label): members besides the smallest, in buckets where these belong to several classes."""
     rows = members.join(labels, "text_key")
-    of = rows.groupBy("bucket").agg(F.min("text_key").alias("lead"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high")
-    rest = rows.join(of.select("bucket", "lead"), "bucket").where("text_key <> lead").select("bucket", "text_key", "label")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    of = staged(rows.groupBy("bucket").agg(F.min("text_key").alias("lead"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high"), "dup-mixed")
+    rest = staged(rows.join(of.select("bucket", "lead"), "bucket").where("text_key <> lead").select("bucket", "text_key", "label"), "dup-rest")
+    mixed = staged(rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "dup-mixed")
     return rest.join(mixed, "bucket")
 
 
 def block_links(rows: DataFrame, texts: DataFrame, sigs: DataFrame, idf, threshold: float) -> DataFrame:
     """(a, b): links that join the classes found alike within a bucket, block against block."""
-    small_batches(rows.sparkSession, 10_000)
-    full = rows.join(sigs, "text_key").join(texts, "text_key")
-    sizes = rows.join(texts.select("text_key", F.length("text").alias("chars")), "text_key").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("chars") / F.lit(BLOCK_CHARS))).cast("int").alias("blocks"))
-    placed = full.join(sizes, "bucket").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
-    # A member goes to every pair of blocks that its own block is in.
+    sized = rows.join(texts.select("text_key", F.length("text").alias("chars")), "text_key").join(sigs, "text_key")
+    sizes = staged(sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("chars") / F.lit(BLOCK_CHARS)), F.lit(1)).cast("int").alias("blocks")), "dup-blocks")
+    placed = sized.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    # A member's samples go to every pair of blocks that its own block is in.
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    place = ["bucket", "x", "y"]
 
-    def compare(group: pa.Table) -> pa.Table:
-        keys, labels, bodies = (group.column(c).to_pylist() for c in ("text_key", "label", "text"))
-        block, x, y = np.array(group.column("block")), group.column("x")[0].as_py(), group.column("y")[0].as_py()
+    def agreeing(sig: np.ndarray, cls: np.ndarray, left: np.ndarray, right: np.ndarray):
+        """For each of the left the right ones of other classes whose samples agree often enough, most agreeing first."""
+        for i in left:
+            agree = (sig[right] == sig[i]).sum(axis=1)
+            near = right[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())]
+            yield i, near[cls[near] != cls[i]]
+
+    def laid_out(group: pa.Table):
+        keys, labels, block = group.column("text_key").to_pylist(), group.column("label").to_pylist(), np.array(group.column("block"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(keys), SAMPLES)
         code = {k: i for i, k in enumerate(dict.fromkeys(labels))}
-        cls = np.array([code[k] for k in labels])  # joined as links are found
-        table, words, sets = idf.value, WordHashes(), {}
+        return keys, sig, np.array([code[k] for k in labels]), np.flatnonzero(block == group.column("x")[0].as_py()), np.flatnonzero(block == group.column("y")[0].as_py())
+
+    def meet(group: pa.Table) -> pa.Table:
+        _, sig, cls, left, right = laid_out(group)
+        some = np.zeros(len(sig), bool)
+        for i, near in agreeing(sig, cls, left, right):
+            some[near] = True
+            some[i] |= len(near) > 0
+        return group.select(["bucket", "x", "y", "block", "text_key", "label", "sig"]).filter(pa.array(some))
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys, sig, cls, left, right = laid_out(group)  # classes are joined as links are found
+        bodies, table, words, sets, found = group.column("text").to_pylist(), idf.value, WordHashes(), {}, []
 
         def weighted(i: int):
             if i not in sets:
                 sets[i] = weighted_set(words.of(bodies[i]), table)
             return sets[i]
 
-        left, right, found = np.flatnonzero(block == x), np.flatnonzero(block == y), []
-        for i in left:
-            agree = (sig[right] == sig[i]).sum(axis=1)
-            near = right[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())]
-            near = near[cls[near] != cls[i]]
+        for i, near in agreeing(sig, cls, left, right):
             while len(near):
                 j = int(near[0])
                 near = near[1:]
@@ -284,7 +298,9 @@ def block_links(rows: DataFrame, texts: DataFrame, sigs: DataFrame, idf, thresho
                     near = near[cls[near] != cls[i]]
         return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
-    return placed.select("bucket", "x", "y", "block", "text_key", "label", "sig", "text").groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+    meetings = placed.select(*place, "block", "text_key", "label", "sig").groupBy(*place).applyInArrow(meet, "bucket bigint, x int, y int, block int, text_key binary, label binary, sig binary")
+    near = staged(meetings, "dup-near").join(texts, "text_key")
+    return near.select(*place, "block", "text_key", "label", "sig", "text").groupBy(*place).applyInArrow(compare, "a binary, b binary").distinct()
 
 
 # ---------------------------------------------------------------- classes
@@ -326,7 +342,9 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     sigs = signed.select("text_key", "sig").join(wanted, "text_key").groupBy("text_key").agg(F.first("sig").alias("sig"))
     labels = wanted.withColumn("label", F.col("text_key"))
     labels = merge(labels, verify(star_pairs(members), texts, idf, threshold))
-    labels = merge(labels, block_links(staged(open_members(members, labels), "dup-open"), texts, sigs, idf, threshold))
+    opened = staged(open_members(members, labels), "dup-open")
+    labels = merge(labels, block_links(opened, texts, sigs, idf, threshold))
+    done(members, texts, opened)
     return rows, labels
 
 
@@ -344,12 +362,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, all columns: that with the smallest doc_id, one row of it."""
+    """One document of each class, all columns: that with the smallest doc_id; of rows alike in id and text, one."""
     found = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min(F.struct("text_key")).alias("k"), F.first("doc_id").alias("doc_id"))
     columns, own_key, own_id, nth = docs.columns, fresh(docs, "own_key"), fresh(docs, "own_id"), fresh(docs, "nth")
     wanted = found.select(F.col("k.text_key").alias(own_key), F.col("doc_id").alias(own_id))
     keyed = docs.withColumn(own_key, text_key(F.col("text"))).withColumn(own_id, F.col("doc_id").cast("long"))
     left, right = keyed.alias("l"), wanted.alias("r")
     kept = left.join(right, F.col(f"l.{own_key}").eqNullSafe(F.col(f"r.{own_key}")) & F.col(f"l.{own_id}").eqNullSafe(F.col(f"r.{own_id}")), "left_semi")
-    one = Window.partitionBy(own_key, own_id).orderBy(F.lit(1))
+    # Of rows alike in id and text that stays which is smallest in all its columns.
+    one = Window.partitionBy(own_key, own_id).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))
     return kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*[f"`{c}`" for c in columns])

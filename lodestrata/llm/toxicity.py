@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import kept_rows, remainder, small_batches, staged
+from .common import done, kept_rows, remainder, small_batches, staged
 
 BITS = 20
 FACTORS = 4
@@ -163,10 +164,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_R
             cells = [np.sort(h.cells(x.as_py())).astype("<i4").tobytes() for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("draw"), b.column("toxic"), pa.array(cells, pa.binary())], schema=schema)
 
-    # Staged, so that all tasks extract at once and the driver then reads one partition after another.
-    got = staged(rows.mapInArrow(run, "doc_id string, draw long, toxic int, cells binary"), "tox-sample").toLocalIterator()
-    kept = sorted((r["draw"] % (1 << 30), r["doc_id"], r["toxic"], bytes(r["cells"])) for r in got)[:max_rows]
-    return [(t, np.frombuffer(c, "<i4")) for _, _, t, c in kept]
+    # Staged, so that all tasks extract at once. The exact bound is applied where the rows lie, so that ids given over and
+    # over do not reach the driver.
+    drawn = staged(rows.mapInArrow(run, "doc_id string, draw long, toxic int, cells binary"), "tox-sample")
+    order = [F.pmod("draw", F.lit(1 << 30)), F.col("doc_id"), F.col("toxic"), F.col("cells")]
+    bounded = staged(drawn.orderBy(*order).limit(max_rows).withColumn("nth", F.row_number().over(Window.orderBy(*order))), "tox-bounded")
+    kept = sorted((r["nth"], r["toxic"], bytes(r["cells"])) for r in bounded.toLocalIterator())
+    done(drawn, bounded)
+    return [(t, np.frombuffer(c, "<i4")) for _, t, c in kept]
 
 
 def learn(docs: DataFrame, labels: DataFrame, **how) -> Machine:

@@ -3,8 +3,9 @@
 Each task writes one archive of its rows, a gzip member per record, into the shared folder, and
 yields an index row (file, offset, length, url, digest) for each. The index is committed as a table
 before anything is read; archives of attempts that the index does not name are removed. Reading takes
-selected index rows, sorts them by file and offset, coalesces neighbouring byte ranges up to a gap
-and a size, and reads and parses each range once.
+selected index rows, sorts them by file and offset, deals them out in that order to one task for
+every SPAN bytes of records, coalesces neighbouring byte ranges up to a gap and a size, and reads and
+parses each range once.
 
 Of records with equal payloads the one with the smallest id is a response, the others are revisits
 without payload that refer to it; their HTTP headers keep the payload's length.
@@ -36,8 +37,8 @@ INDEX = "id long, url string, file string, offset long, length long, payload_dig
 RECORD = "id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Reads are joined over gaps up to GAP bytes, into ranges up to RANGE bytes (a longer record is a range of its own).
 GAP, RANGE = 1 << 16, 8 << 20
-#: Records whose offsets share this many bytes are read by one task, in order.
-SPAN = 32 << 20
+#: Bytes of records that one task reads, about.
+SPAN = 8 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -88,7 +89,8 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     keyed = pages.select(F.col("id").cast("long").alias("id"), "url", F.coalesce("payload", F.lit("")).alias("payload")).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    shared = keyed.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # In a table of its own, so that a payload which many rows share can be split in the join.
+    shared = staged(keyed.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-shared")
     rows = keyed.join(shared, "sha", "left").select("id", "url", "payload", "sha", "first", (F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).alias("revisit"))
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string())])
 
@@ -172,7 +174,9 @@ def read_records(index: DataFrame, root: str, payloads: bool = True) -> DataFram
         if handle is not None:
             handle.close()
 
-    spread = index.repartition("file", F.floor(F.col("offset") / F.lit(SPAN))).sortWithinPartitions("file", "offset")
+    # The index is small; the number of tasks follows the bytes that it points to.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // SPAN))
+    spread = index.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return spread.select("file", "offset", "length", "url").mapInArrow(run, RECORD)
 
 
