@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,10 +45,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def done(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+    """Delete staged tables that nothing reads any more, and have Spark's cleaner look for shuffle files that nothing refers to."""
     for t in tables:
         if path := getattr(t, "scratch_path", None):
             drop_scratch(t.sparkSession, path)
+    gc.collect()
+    for t in tables[:1]:
+        t.sparkSession.sparkContext._jvm.System.gc()
 
 
 ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
