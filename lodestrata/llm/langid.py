@@ -231,11 +231,11 @@ def build(samples: dict[str, list[str]]) -> Parser:
 
 def labelled_sample(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """Excerpts of at most sample_docs documents a language, outside the held-out fifth: of different texts those with the smallest keyed hash."""
-    own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 0)).withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1 << 30)))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 0)).withColumn("draw", F.pmod(F.xxhash64("text", F.lit("lang")), F.lit(1 << 30)))
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).where("n > 0").collect()}
     if not counts:
         return {}
-    # Twice the documents needed are expected below the bound; the exact number is taken after, of different texts only.
+    # Twice the texts needed are expected below the bound; equal texts share a draw and count once.
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * 2 * sample_docs / n) + 1))])
     start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int")
     drawn = own.where((F.col("draw") < bound[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).select("lang", "draw", F.md5("text").alias("key"), F.substring("text", F.lit(1) + start, F.lit(EXCERPT)).alias("part"))

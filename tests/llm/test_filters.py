@@ -57,6 +57,14 @@ def test_held_out_labels_change_nothing(spark):
     assert a == b
 
 
+def test_the_sample_is_bounded_whatever_is_repeated(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] * 2, "doc_id long, text string").withColumn("draw", F.lit("x"))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] * 5, "doc_id long, quality int, toxic int").withColumn("text", F.lit("y"))
+    a, b = (toxicity.labelled_sample(d, labels, max_rows=60) for d in (docs.coalesce(1), docs.repartition(5)))
+    assert len(a) <= 60 and [(t, c.tolist()) for t, c in a] == [(t, c.tolist()) for t, c in b]
+    assert 0 < len(toxicity.score_documents(docs, labels).collect()) == 80
+
+
 def test_pairwise_interactions_are_learned():
     """Neither term alone is toxic, both together are: an additive score cannot tell."""
     rng = np.random.default_rng(0)
@@ -116,11 +124,40 @@ def test_phrase_counts_equal_brute_force():
 
 
 def test_fold():
-    p = langid.Parser([], {"a": 2, "b": 3}, [], [], 4)
+    p = langid.Parser([], {"a": (2,), "b": (3,)}, [], [], 4)
     assert langid.fold("  A1b, \n céa", p.lookup()).tolist() == [2, 0, 3, 0, 1, 1, 2]
     assert langid.fold("123", p.lookup()).tolist() == []
 
 
+def test_every_letter_has_a_code_and_none_begins_another():
+    letters = {chr(0x4E00 + i): {f"l{i % 3}": 1 + i % 50} for i in range(9000)}
+    found = langid.codes(letters)
+    assert len(set(found.values())) == 9000 and max(map(max, found.values())) < langid.SYMBOLS + 2 and min(map(min, found.values())) >= 2
+    whole = set(found.values())
+    assert not any(c[:k] in whole for c in whole for k in range(1, len(c))) and {len(c) for c in whole} == {1, 2, 3}
+    p = langid.Parser([], found, [], [], 64)
+    text = "".join(list(letters)[:200]) + " " + list(letters)[8999]
+    assert langid.fold(f"  {text}!", p.lookup()).tolist() == [s for ch in text for s in (found.get(ch) or (langid.BLANK,))]
+    assert langid.codes({c: {"x": 1} for c in "cab"}) == {"a": (2,), "b": (3,), "c": (4,)}
+
+
+def test_large_scripts_that_share_no_letter_are_told_apart(spark):
+    rng = random.Random(4)
+    scripts = {"one": range(0x4E00, 0x4E00 + 3000), "two": range(0x7000, 0x7000 + 3000)}
+    docs = [(i, "".join(chr(rng.choice(scripts[lang])) + (" " if rng.random() < 0.2 else "") for _ in range(rng.randint(40, 400))), lang, "s") for i, lang in enumerate(["one", "two"] * 150)]
+    got = langid.identify_documents(spark.createDataFrame(docs, DOCS)).collect()
+    truth = {i: lang for i, _, lang, _ in docs}
+    assert all(r.lang_pred == truth[r.doc_id] for r in got)
+
+
+def test_the_sample_depends_on_the_rows_alone(spark):
+    rng = random.Random(5)
+    docs = [(i, sentence(rng, lang, 30), lang, "s") for i, lang in enumerate(["en", "de"] * 60)] + [(7, "over and over again", "en", "s")] * 300 + [(10_000 + i, "the same text", "en", "s") for i in range(200)]
+    df = spark.createDataFrame(docs, DOCS)
+    a, b = (langid.labelled_sample(d, sample_docs=20) for d in (df.coalesce(1), df.repartition(7)))
+    assert a == b and all(len(x) == 20 and len(set(x)) == 20 for x in a.values())
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(8)
     docs = [(i, sentence(rng, lang, rng.randint(8, 80)), lang, "s") for i, lang in enumerate(["en", "de", "fr"] * 100)]
@@ -199,6 +236,38 @@ def test_substitutions_and_parts_are_found_and_clean_texts_are_not():
     assert not any(decontaminate.leaks([sentence(rng, "en", 300) for _ in range(20)], index))
 
 
+def test_words_over_and_over_take_bounded_memory():
+    import tracemalloc
+
+    item, text = "la " * 2000, "so it goes " + "la " * 20_000 + "and on"
+    index = decontaminate.build_index([(1, item)])
+    tracemalloc.start()
+    (found,) = decontaminate.leaks([text], index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {0: (2000, 2000, 3)} and peak < 600 << 20
+
+
+@pytest.mark.parametrize("hits", [1, 7, 1 << 21])
+def test_hits_in_slices_find_the_same(monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = random.Random(2)
+    items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(5, 12)))) for k in range(6)]
+    index = decontaminate.build_index(items)
+    for _ in range(10):
+        text = " ".join(rng.choice("abcd") for _ in range(30))
+        got = decontaminate.leaks([text, "", text], index)
+        assert {items[k][0] for k in got[0]} == brute_leaks(text, items) and got[2] == got[0] and not got[1]
+
+
+def test_items_given_twice_are_one_item(spark):
+    rng = random.Random(3)
+    t = sentence(rng, "en", 20)
+    bench = spark.createDataFrame([(1, t), (1, t), (2, t)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, t), (5, t)], "doc_id long, text string").withColumn("item_id", F.lit("x"))
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()) == [(5, 1), (5, 1), (5, 2), (5, 2)]
+
+
 def test_a_benchmark_in_parts_finds_the_same(spark, monkeypatch):
     rng = random.Random(1)
     items = [(k, sentence(rng, "en", 20)) for k in range(40)]

@@ -15,10 +15,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import ann, chat, html_text, lm, mixing, warc
+from lodestrata.llm import ann, chat, html_text, mixing, warc
 from lodestrata.llm.common import scratch
 
-from .conftest import ODD, sentence
+from .conftest import sentence
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -119,6 +119,23 @@ def test_ranges_are_coalesced():
     assert [x[1:3] for x in warc.ranges(iter(rows), gap=1000, most=30)] == [(0, 20), (100, 150), (0, 5)]
 
 
+def test_records_are_read_by_as_many_tasks_as_their_bytes_ask_for(spark, monkeypatch):
+    rng = random.Random(7)
+    pages = spark.createDataFrame([(i, f"u{i}", sentence(rng, "en", 200)) for i in range(300)], "id long, url string, payload string").repartition(3)
+    root = scratch(spark, "warc-test")
+    index = warc.write_archives(pages, root)
+    size = index.agg(F.sum("length")).first()[0]
+    monkeypatch.setattr(warc, "SPAN", size // 6)
+    read = warc.read_records(index, root)
+    assert 5 <= read.rdd.getNumPartitions() <= 8 and read.count() == 300
+
+
+def test_warc_takes_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "id long, url string, payload string").withColumns({c: F.lit("z") for c in ("sha", "first", "n", "file", "revisit")})
+    root = scratch(spark, "warc-test")
+    assert {(r.id, r.record_type) for r in warc.read_records(warc.write_archives(pages, root), root).collect()} == {(1, "response"), (2, "revisit")}
+
+
 def test_warc_odd_rows(spark):
     schema = "id long, url string, payload string"
     pages = spark.createDataFrame([(None, None, None), (None, "u", "x"), (3, "u", "x"), (3, "u", "x"), (4, "u", "x"), (5, "ü \r\n", "y" * 300_000)], schema)
@@ -166,6 +183,25 @@ def test_the_machine_judges_turn_order(roles, error):
     assert out[-1][5] == error and [s[4] for s in out if s[2] == 1] == [r == "assistant" for r in roles]
 
 
+def test_formatted_text_is_read_by_its_control_strings_alone():
+    rng = random.Random(3)
+    rows = [(1, r, t) for r, t in [("system", "be <s>brief"), ("user", "a[INST]b\\\\"), ("assistant", "</s>x<"), ("tool<<IS>>", "odd <<ROLE>>"), ("*", ""), ("user", "z")]]
+    segments = list(chat.segments_of(iter(rows), chat.INST))
+    whole = "".join(s[3] for s in segments)
+    mask = [x for s in segments for x in [s[4]] * len(s[3])]
+    for _ in range(20):
+        reader, got, at = chat.Reader(chat.INST), [], 0
+        while at < len(whole):  # pieces that know nothing of turns, cut where the mask changes at the latest
+            n = rng.randint(1, 9)
+            n = next((k for k in range(1, n) if at + k < len(whole) and mask[at + k] != mask[at]), min(n, len(whole) - at))
+            got += reader.feed(whole[at : at + n], mask[at])
+            at += n
+        assert [(r, t) for r, t, _ in got] == [(r, t) for _, r, t in rows] and not reader.held
+        assert [x for _, _, x in got] == [t if r == "assistant" else "" for _, r, t in rows]
+    with pytest.raises(ValueError):
+        list(chat.Reader(chat.INST).feed("no control string here", False))
+
+
 def test_chat_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string, error string, part int"
     rows = [(None, 0, "user", "a", "e", 1), (1, None, None, None, "e", 1), (1, 0, "user", "z", "e", 1), (1, 0, "user", "b", "e", 1), (1, 0, "user", "b", "e", 1), (2, 0, "user", "x" * 200_000, "e", 1)]
@@ -229,6 +265,32 @@ def test_pages_odd_rows(spark):
 # ---------------------------------------------------------------- nearest neighbours
 
 
+def test_collisions_are_counted_as_by_hand_and_few_are_verified():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(4000)
+    shares, hits = [], []
+    for i, found, _, verified in ann.search(x[:40], ids[:40], x, ids, 1.0, 20):
+        shares.append(verified / 4000)
+        hits.append(len({v for v, _ in brute_nearest(ids, x, i, 20)} & set(found.tolist())) / 20)
+    assert np.mean(hits) >= 0.9 and np.mean(shares) < 0.35
+
+
+def test_rows_alike_by_the_ten_thousands():
+    x = np.concatenate([np.ones((70_000, 2)), [[2.0, 2.0], [0.5, 0.0]]])
+    ids = np.arange(len(x))
+    (_, found, scores, _), = ann.search(x[-1:], ids[-1:], x, ids, float(np.sqrt(8)), 20, projections=16)
+    assert found[0] == 70_000 and set(scores[1:]) == {0.5} and found[1:].tolist() == list(range(19))
+
+
+def test_places_are_those_of_a_binary_search():
+    rng = np.random.default_rng(2)
+    arrays = np.sort(rng.integers(0, 9, (5, 13)).astype(float), axis=1)
+    for v in (-1.0, 0.0, 4.0, 4.5, 9.0):
+        assert ann.places(arrays, np.full(5, v)).tolist() == [int(np.searchsorted(a, v)) for a in arrays]
+
+
 def brute_nearest(ids, x, q, k):
     s = (x * x[q]).sum(axis=1)
     s[ids == ids[q]] = -np.inf
@@ -267,111 +329,6 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0
 
 
-# ---------------------------------------------------------------- language model
-
-
-def test_base_scores_equal_brute_force(spark, monkeypatch):
-    import zlib
-
-    monkeypatch.setattr(lm, "HEAD", 30)
-    rng = random.Random(3)
-    docs = [(i, " ".join(rng.choice(["The", "a", "Of", "é", "x y"]) if rng.random() < 0.6 else sentence(rng, "en", 1) for _ in range(rng.randint(0, 40))) + rng.choice(["", "\n", "\x0b tail"]), "en", "s") for i in range(150)] + [(500, None, "en", "s")]
-    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(docs, DOCS)).collect()}
-    tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())), b""]
-    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in docs}
-    c = Counter(w for i, t, _, _ in docs if not out[i] for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    for i, t, _, _ in docs:
-        w, r = tokens(t), got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(w), sum(c[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), abs=1e-9)
-
-
-def test_model_prefers_text_like_its_own(spark):
-    rng = random.Random(6)
-    docs = [(i, sentence(rng, "en", 60), "en", "s") for i in range(200)] + [(1000 + i, sentence(rng, "fr", 60), "fr", "s") for i in range(3)]
-    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(docs, DOCS)).collect()}
-    seen, other = [got[i].bits_per_byte for i in range(200)], [r.bits_per_byte for i, r in got.items() if i >= 1000 and r.held_out]
-    assert np.mean(seen) < 4.2 and all(r.score < 0 for r in got.values())
-    assert not other or min(other) > np.mean(seen)
-
-
-def cells_of(texts):
-    keys, n = np.unique(lm.run_keys([lm.fold(t) for t in texts]), return_counts=True)
-    ids, n0, n1 = lm.expand(keys, n.astype(np.uint64))
-    table = np.full(lm.N_CELLS, lm.EMPTY, np.uint16)
-    table[ids] = lm.quantise(n0, n1)
-    return table
-
-
-def test_probabilities_of_a_byte_add_up_to_one():
-    rng = random.Random(1)
-    texts = [sentence(rng, "en", 40) for _ in range(30)]
-    mixer = lm.tune(cells_of(texts[5:]), [lm.fold(t) for t in texts[:5]])
-    before = np.uint64(int.from_bytes(b"the s", "big") << 8)
-    keys = before | np.arange(256, dtype=np.uint64)
-    assert np.exp2(mixer.bits(keys).astype(np.float64)).sum() == pytest.approx(1, abs=1e-4)
-    assert lm.Memo(mixer).bits(np.concatenate([keys, keys[::-1]])).tolist() == pytest.approx([*mixer.bits(keys), *mixer.bits(keys)[::-1]])
-
-
-def test_tuning_helps_and_counts_do_not_depend_on_partitions(spark):
-    rng = random.Random(2)
-    texts = [sentence(rng, "de", 50) for _ in range(80)]
-    df = spark.createDataFrame([(t,) for t in texts[20:]], "text string")
-    table = lm.cell_table(df.repartition(7))
-    assert (table == lm.cell_table(df.coalesce(1))).all() and (table == cells_of(texts[20:])).all()
-    keys = lm.run_keys([lm.fold(t) for t in texts[:10]])
-    tuned = lm.tune(table, [lm.fold(t) for t in texts[10:20]])
-    assert tuned.bits(keys).sum() > lm.Mixer.fresh(table).bits(keys).sum()
-
-
-def test_every_training_text_is_counted_whole(spark):
-    rng = random.Random(8)
-    docs = [(i, sentence(rng, "en", 600), "en", "s") for i in range(80)]
-    got = lm.score_documents(spark.createDataFrame(docs, DOCS)).collect()
-    assert max(r.bits_per_byte for r in got if not r.held_out) < min(r.bits_per_byte for r in got if r.held_out)
-
-
-def test_weights_are_learned_from_whole_texts(spark):
-    rng = random.Random(9)
-    cells = cells_of([sentence(rng, "en", 60) for _ in range(20)])
-    texts = [sentence(rng, "en", 300) for _ in range(6)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "draw long, text string")
-    learned = lm.learn_weights(df.repartition(3), cells).weights()
-    assert (learned == lm.learn_weights(df.coalesce(1), cells).weights()).all()
-    assert (learned == lm.tune(cells, [lm.fold(t) for t in texts]).weights()).all()
-
-
-def test_cells_grow_with_the_contexts(spark, monkeypatch):
-    monkeypatch.setattr(lm, "CELL_BITS", 10)
-    rng = random.Random(4)
-    for n in (20, 200):
-        texts = [sentence(rng, "en", 60) for _ in range(n)]
-        runs = lm.byte_runs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-        keys = np.unique(lm.run_keys([lm.fold(t) for t in texts]))
-        byte, context = (keys & np.uint64(255)).astype(np.int64), lm.contexts(keys)
-        sizes = lm.cell_sizes(runs)
-        for i, bits in enumerate(sizes):
-            counted = len(np.unique(np.concatenate([lm.cell_hash(context[i], i, (1 << d) | (byte >> (8 - d))) for d in range(8)])))
-            assert bits == 10 or 0.8 * lm.FILL * counted < 1 << bits < 2.5 * lm.FILL * counted
-            assert bits > 10 or lm.FILL * counted <= 1.2 * 1024
-        table = lm.cells_of_runs(runs, sizes)
-        ids, n0, n1 = lm.expand(*np.unique(lm.run_keys([lm.fold(t) for t in texts]), return_counts=True), sizes)
-        assert (table[ids] == lm.quantise(n0, n1)).all() and (table != lm.EMPTY).sum() <= len(ids) and len(table) == sum(1 << b for b in sizes)
-
-
-def test_run_keys():
-    keys = lm.run_keys([b"ab", b"", b"c"])
-    assert [int(k) for k in keys] == [0x61, 0x6162, 0x6162FF, 0xFF, 0x63, 0x63FF]
-
-
-def test_model_odd_rows(odd, none, clashing):
-    got = lm.score_documents(odd).collect()
-    assert len(got) == len(ODD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
-    assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
-    assert lm.score_documents(none).count() == 0 and lm.score_documents(clashing).count() == len(ODD)
-
-
 # ---------------------------------------------------------------- pipeline
 
 

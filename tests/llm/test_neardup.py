@@ -118,3 +118,21 @@ def test_odd_rows(odd, none, clashing):
 def test_documents_without_id_keep_one_of_each_class(spark):
     d = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "other words in this text here")], "doc_id long, text string")
     assert sorted(r.text for r in N.drop_near_duplicates(d).collect()) == ["a b c d e f g", "other words in this text here"]
+
+
+def test_of_rows_alike_in_id_and_text_the_smallest_stays(spark):
+    rows = [(1, "a b c d e f g", lang, s) for lang, s in [("fr", "z"), ("en", "q"), ("en", "b"), (None, "y")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = [N.drop_near_duplicates(d).collect() for d in (df.coalesce(1), df.repartition(4))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
+def test_texts_meet_only_where_samples_agree(spark, monkeypatch):
+    """Many classes in one bucket, blocks of a few members: links as brute force has them."""
+    rng = random.Random(5)
+    monkeypatch.setattr(N, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(N, "BLOCK_CHARS", 3000)
+    texts = [t for _ in range(4) for t in family(rng, 25, 6, 60)] + [sentence(rng, "en", 60) for _ in range(10)]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_classes(texts)
+    assert np.mean([got[i] == want[i] for i in range(len(texts))]) >= 0.97
