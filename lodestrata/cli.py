@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import argparse
 import os
-import shutil
 import sys
 import tempfile
+import uuid
 
 from . import __version__
-from .console import status
+from .console import short_time, status
 from .plans.entities import get
 
 
 def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("paths", nargs="+", help="dump files (.xml.gz, .xml) or folders of them")
-    p.add_argument("--parse-workers", type=int, default=max(1, (os.cpu_count() or 2) // 2), help="tasks that run at a time")
+    p.add_argument("--parse-workers", type=int, default=None, help="most tasks that parse a dump (default: as many as it has splits)")
     p.add_argument("--chunk-mb", type=int, default=256, help="size of an input split")
     p.add_argument("--write-queue", type=int, default=2, help="tables written at a time")
-    p.add_argument("--keep-stage", "--keep-xml", action="store_true", help="keep the staged table")
+    p.add_argument("--keep-xml", action="store_true", help="write decompressed dumps beside the compressed ones and keep them")
+    p.add_argument("--keep-stage", action="store_true", help="keep the staged table")
+    p.add_argument("--stage-dir", default=None, help="folder for decompressed dumps and the staged table, shared by all tasks (default: spark.checkpoint.dir, else beside the output)")
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--profile", action="store_true", help="seconds of each table")
     p.add_argument("--progress", action=argparse.BooleanOptionalAction, default=True)
@@ -59,7 +61,7 @@ def make_sink(args: argparse.Namespace):
 
 def report(result, spec, verb: str, profile: bool) -> str:
     rate = f"  {result.records / result.t_stage:,.0f} rec/s" if result.t_stage > 0 else ""
-    lines = [f"{result.records:,} {spec.name} {verb} [{result.t_total:.2f}s]", status("Stage", f"{result.t_stage:.2f}s{rate}"), status("Write", f"{result.t_write:.2f}s"), status("Finalize", f"{result.t_finalize:.2f}s")]
+    lines = [f"{result.records:,} {spec.name} {verb} [{short_time(result.t_total) if result.t_total >= 60 else f'{result.t_total:.2f}s'}]", status("Stage", f"{result.t_stage:.2f}s{rate}"), status("Write", f"{result.t_write:.2f}s"), status("Finalize", f"{result.t_finalize:.2f}s")]
     if result.skipped:
         lines.append(status("Warning", f"{result.skipped} records without id were skipped"))
     lines += [status("Unknown", p) for p in result.unknown]
@@ -72,7 +74,28 @@ def report(result, spec, verb: str, profile: bool) -> str:
 def session(args: argparse.Namespace):
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("lodestrata").config("spark.ui.showConsoleProgress", str(args.progress).lower()).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    builder = SparkSession.builder.appName("lodestrata")
+    return builder.config("spark.ui.showConsoleProgress", str(args.progress).lower()).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+def scratch_dir(spark, args: argparse.Namespace) -> str:
+    """A new folder for this call, where all tasks can reach it."""
+    shared = args.stage_dir or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and args.command == "convert":
+        shared = f"{args.output.rstrip('/')}/_lodestrata"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("no shared folder: give --stage-dir or set spark.checkpoint.dir")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(where, True)
+    if where.getParent().getName() == "_lodestrata" and not fs.listStatus(where.getParent()):
+        fs.delete(where.getParent(), False)
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
@@ -81,13 +104,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     sink, own = None, None
     try:
         from .run import Config, run
-        from .sources.dumps import resolve_jobs
+        from .sources.dumps import inflate, resolve_jobs
 
         sink = make_sink(args)
         spark = spark or session(args)
-        own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-")
-        for job in resolve_jobs(spark, args.paths):
-            result = run(spark, Config(job, sink, f"{own}/stage", chunk_mb=args.chunk_mb, write_threads=max(1, args.write_queue), strict=args.strict, profile=args.profile, keep_stage=args.keep_stage))
+        jobs = resolve_jobs(spark, args.paths)
+        own = scratch_dir(spark, args)
+        for job in inflate(spark, jobs, None if args.keep_xml else f"{own}/xml"):
+            result = run(spark, Config(job, sink, f"{own}/stage", chunk_mb=args.chunk_mb, parse_partitions=args.parse_workers, write_threads=max(1, args.write_queue), strict=args.strict, profile=args.profile, keep_stage=args.keep_stage))
             print(report(result, get(job.entity), "converted" if args.command == "convert" else "loaded", args.profile))
         return 0
     except KeyboardInterrupt:
@@ -99,8 +123,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     finally:
         if sink is not None:
             sink.close()
-        if own and own.startswith(tempfile.gettempdir()) and "lodestrata-" in own and not args.keep_stage:
-            shutil.rmtree(own, ignore_errors=True)
+        if own and not args.keep_stage:
+            drop_folder(spark, own)
 
 
 if __name__ == "__main__":

@@ -278,18 +278,17 @@ numbered AS (
   SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i,
          sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS g
   FROM conversations),
-led AS (SELECT conv_id, turn, role, text, g, i FROM numbered WHERE g > 0),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS track_idx FROM led),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS track_idx FROM numbered),
 parents AS (SELECT conv_id, g, min(track_idx) AS head FROM placed GROUP BY conv_id, g)
 """
 
 
 def _tracklists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation is a release: a user's turn is a track, the turns up to the next user's its sub-tracks."""
+    """A conversation is a release: its first turn and every user's turn is a track, the turns up to the next user's its sub-tracks."""
     from pyspark.sql.window import Window
 
     own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = _t(spark, sf_dir, "conversations").withColumn("i", F.row_number().over(own)).withColumn("g", F.sum((F.col("role") == "user").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("g > 0")
+    rows = _t(spark, sf_dir, "conversations").withColumn("i", F.row_number().over(own)).withColumn("g", F.sum((F.col("role") == "user").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     credit = F.struct(F.array(F.struct(_s("turn").alias("id"), F.col("role").alias("name"))).alias("artist"))
     extra = F.struct(F.array(F.struct(_s("turn").alias("id"), F.col("role").alias("name"), F.lit("writer").alias("role"), F.lit("all").alias("tracks"))).alias("artist"))
     track = F.struct(_s("turn").alias("position"), F.col("text").alias("title"), credit.alias("artists"), extra.alias("extraartists"))
@@ -402,7 +401,9 @@ def q_sqlite_rt(spark, sf_dir):
     """Loaded into SQLite, a column named join included, and read back."""
     from .sinks import get_sink
 
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestrata-"), "rt.db")
+    folder = _scratch(spark).removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "rt.db")
     sink = get_sink(path)
     sink.prepare(spark, MASTERS)
     sink.write("master_artists", shred.shred_table(_credits(spark, sf_dir, "master"), MASTERS, "master_artists"), MASTERS)
@@ -410,7 +411,51 @@ def q_sqlite_rt(spark, sf_dir):
     return spark.read.format("lodestrata_sqlite").schema(MASTERS.table("master_artists").schema).option("path", path).option("dbtable", "master_artists").load()
 
 
-@query()
+#: The columns of the output tables; i whole number, s text, l list of texts, b flag, ? nullable.
+_COLUMNS = """
+  ('artists', 'artists', 'id:i data_quality:s name:s namevariations:l profile:s realname:s urls:l'),
+  ('artists', 'artist_aliases', 'artist_id:i alias_id:i? name:s'),
+  ('artists', 'artist_groups', 'artist_id:i group_id:i? name:s'),
+  ('artists', 'artist_members', 'artist_id:i member_id:i? name:s'),
+  ('labels', 'labels', 'id:i contactinfo:s data_quality:s name:s parent_label_id:i? parent_label_name:s profile:s urls:l'),
+  ('labels', 'label_sublabels', 'label_id:i sublabel_id:i? name:s'),
+  ('masters', 'masters', 'id:i data_quality:s genres:l main_release:i? notes:s styles:l title:s year:i?'),
+  ('masters', 'master_artists', 'master_id:i artist_id:i? anv:s join:s name:s'),
+  ('masters', 'master_videos', 'master_id:i description:s duration:i? embed:b? src:s title:s'),
+  ('releases', 'releases', 'id:i country:s data_quality:s genres:l is_main_release:b? master_id:i? notes:s released:s status:s styles:l title:s'),
+  ('releases', 'release_artists', 'release_id:i artist_id:i? anv:s join:s name:s'),
+  ('releases', 'release_extraartists', 'release_id:i artist_id:i? anv:s name:s role:s tracks:s'),
+  ('releases', 'release_labels', 'release_id:i label_id:i? catno:s name:s'),
+  ('releases', 'release_series', 'release_id:i series_id:i? catno:s name:s'),
+  ('releases', 'release_formats', 'release_id:i descriptions:l name:s qty:s text:s'),
+  ('releases', 'release_identifiers', 'release_id:i description:s type:s value:s'),
+  ('releases', 'release_videos', 'release_id:i description:s duration:i embed:b src:s title:s'),
+  ('releases', 'release_companies', 'release_id:i company_id:i? catno:s entity_type_name:s entity_type:s name:s'),
+  ('releases', 'release_tracks', 'release_id:i track_idx:i parent_idx:i? duration:s position:s title:s'),
+  ('releases', 'release_track_artists', 'release_id:i track_idx:i artist_id:i? anv:s join:s name:s'),
+  ('releases', 'release_track_extraartists', 'release_id:i track_idx:i artist_id:i? anv:s name:s role:s')
+"""
+
+
+@query(
+    "WITH tables(entity, table_name, spec) AS (VALUES" + _COLUMNS + """),
+listed AS (SELECT entity, table_name, string_split(spec, ' ') AS names FROM tables),
+each_one AS (SELECT entity, table_name, unnest(names) AS c, generate_subscripts(names, 1) AS nth FROM listed),
+typed AS (
+  SELECT entity, table_name, nth, split_part(c, ':', 1) AS name, substr(split_part(c, ':', 2), 1, 1) AS kind, c LIKE '%?' AS nullable,
+         nth = 1 AND table_name = entity AS is_key FROM each_one),
+lines AS (
+  SELECT *, '    "' || name || '" ' || CASE kind WHEN 'i' THEN 'INTEGER' WHEN 's' THEN 'TEXT' WHEN 'l' THEN 'TEXT[]' ELSE 'BOOLEAN' END
+              || CASE WHEN nullable THEN '' WHEN is_key THEN ' NOT NULL'
+                      ELSE ' NOT NULL DEFAULT ' || CASE kind WHEN 'i' THEN '0' WHEN 's' THEN '''''' WHEN 'l' THEN '''{}''' ELSE 'false' END END AS of_postgres,
+         '    "' || name || '" ' || CASE WHEN kind IN ('i', 'b') THEN 'INTEGER' ELSE 'TEXT' END
+              || CASE WHEN is_key THEN ' PRIMARY KEY' WHEN nullable THEN ''
+                      ELSE ' NOT NULL DEFAULT ' || CASE kind WHEN 's' THEN '''''' WHEN 'l' THEN '''[]''' ELSE '0' END END AS of_sqlite
+  FROM typed)
+SELECT entity, table_name, 'CREATE TABLE "' || table_name || '" (' || chr(10) || string_agg(of_postgres, ',' || chr(10) ORDER BY nth) || chr(10) || ')' AS postgres,
+       'CREATE TABLE "' || table_name || '" (' || chr(10) || string_agg(of_sqlite, ',' || chr(10) ORDER BY nth) || chr(10) || ')' AS sqlite
+FROM lines GROUP BY entity, table_name"""
+)
 def q_ddl_text(spark, sf_dir):
     """CREATE TABLE of all 21 tables in two dialects."""
     rows = [(e.name, t.name, ddl.postgres_table(t.name, t.schema), ddl.sqlite_table(t.name, t.schema, pk=e.pk if t is e.root else None)) for e in ENTITIES.values() for t in e.tables]

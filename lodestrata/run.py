@@ -18,7 +18,7 @@ from .sources.dumps import EmptyDump, Job, MalformedDump, named_error, read_reco
 class Config:
     job: Job
     sink: Sink
-    #: Where the staged table goes; next to the run's other scratch files if not given.
+    #: Where the staged table goes: a folder that all tasks share.
     stage_dir: str
     chunk_mb: int = 256
     parse_partitions: int | None = None

@@ -151,7 +151,8 @@ class SqliteSink:
             db.commit()
 
     def write(self, table: str, df: DataFrame, spec: EntitySpec) -> None:
-        df.coalesce(1).write.format("lodestrata_sqlite").mode("append").option("path", self.path).option("dbtable", table).save()
+        # One task inserts; the projection before it keeps its own.
+        df.repartition(1).write.format("lodestrata_sqlite").mode("append").option("path", self.path).option("dbtable", table).save()
 
     def finalize(self, spark: SparkSession, spec: EntitySpec) -> list[str]:
         out = []

@@ -3,14 +3,22 @@
 The text source splits a plain file at a separator made of a record's end tag, the white space after
 it and the next record's opening, so no record is parsed to find the next. The white space is read
 from the file itself; records that are separated otherwise are split afterwards inside their fragment.
-A gzip file is read by one task; its raw strings are dealt out before anything is parsed.
+Gzip files cannot be split: `inflate` writes them out plain first, all files of a run at once, each by a
+task of its own, and keeps what is already there. A gzip file read as it is goes through one task, and
+its raw strings are dealt out before anything is parsed.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
+import shutil
+import uuid
+import zlib
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +86,44 @@ def resolve_jobs(spark: SparkSession, paths: list[str]) -> list[Job]:
     return [Job(p, detect_entity(p)) for p in found]
 
 
+def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    if re.match(r"[a-z][a-z0-9+.-]*:", path):
+        return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    return pafs.LocalFileSystem(), path
+
+
+def inflate(spark: SparkSession, jobs: list[Job], folder: str | None = None) -> list[Job]:
+    """The jobs with their gzip files written out plain, into a folder that all tasks share or else beside the dump. A plain file that is there is used as it is."""
+    out = [Job(f"{(folder or j.path.rpartition('/')[0] or '.').rstrip('/')}/{j.path.rpartition('/')[2].removesuffix('.gz')}", j.entity) if j.path.endswith(".gz") else j for j in jobs]
+    todo = [(a.path, b.path) for a, b in zip(jobs, out, strict=True) if a != b]
+
+    def run(batches):
+        for b in batches:
+            done = []
+            for i in b.column(0).to_pylist():
+                (fs, source), (to, target) = _open_fs(todo[i][0]), _open_fs(todo[i][1])
+                if to.get_file_info(target).type == pafs.FileType.NotFound:
+                    to.create_dir(target.rpartition("/")[0], recursive=True)
+                    part = f"{target}.{uuid.uuid4().hex[:8]}.part"
+                    try:
+                        with fs.open_input_stream(source, compression=None) as raw, gzip.GzipFile(fileobj=raw) as plain, to.open_output_stream(part, compression=None) as sink:
+                            shutil.copyfileobj(plain, sink, 8 << 20)
+                    except (gzip.BadGzipFile, EOFError, zlib.error) as e:
+                        to.delete_file(part)
+                        raise ValueError(f"[{i}] incorrect data check: {e}") from e
+                    to.move(part, target)
+                done.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["id"])
+
+    if todo:
+        try:
+            spark.range(0, len(todo), 1, len(todo)).mapInArrow(run, "id long").collect()
+        except Exception as e:
+            bad = re.search(r"\[(\d+)\] incorrect data check", str(e))
+            raise (named_error(todo[int(bad[1])][0], e) if bad else e) from e
+    return out
+
+
 def _literal(s: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", s)
 
@@ -99,10 +145,12 @@ def _repaired(value: Column, spec: EntitySpec) -> Column:
 
 
 def read_records(spark: SparkSession, path: str, spec: EntitySpec, *, line_sep: str | None = None, partitions: int | None = None) -> DataFrame:
-    """(xml, closed): a record's element, and whether it is the one that ends the file."""
+    """(xml, closed): a record's element, and whether it is the one that ends the file. partitions bounds the tasks that parse."""
     raw = spark.read.option("lineSep", line_sep or separator(spark, path, spec)).text(path)
     if str(path).endswith(".gz"):
         raw = raw.repartition(partitions or max(2, spark.sparkContext.defaultParallelism * 2))
+    elif partitions:
+        raw = raw.coalesce(partitions)
     t, e, o = spec.row_tag, spec.name, _literal(spec.opening)
     value, end = F.col("value"), f"</{t}>"
     left, right = F.ltrim(value, F.lit(BLANKS)), F.rtrim(value, F.lit(BLANKS))
