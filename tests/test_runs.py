@@ -126,6 +126,33 @@ def test_cli(spark, dump, tmp_path, capsys):
         cli.main(["--version"])
 
 
+def test_cli_leaves_other_folders_alone(spark, dump, tmp_path):
+    shared = tmp_path / "shared" / "lodestrata-of-others"
+    shared.mkdir(parents=True)
+    (shared / "keep.txt").write_text("x")
+    path = dump("labels", gz=True)
+    assert cli.main(["convert", path, "--output", str(tmp_path / "o"), "--stage-dir", str(tmp_path / "shared"), "--parse-workers", "2"], spark=spark) == 0
+    assert [p.name for p in (tmp_path / "shared").iterdir()] == ["lodestrata-of-others"] and (shared / "keep.txt").exists()
+    assert not os.path.exists(path.removesuffix(".gz"))
+    assert cli.main(["convert", path, "--output", str(tmp_path / "p"), "--stage-dir", str(tmp_path / "shared"), "--keep-xml", "--keep-stage"], spark=spark) == 0
+    assert os.path.exists(path.removesuffix(".gz")) and len(list((tmp_path / "shared").iterdir())) == 2
+
+
+def test_cli_stages_where_all_tasks_reach_it(spark, dump, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    out = str(tmp_path / "o")
+    convert, load = cli.parser().parse_args(["convert", "x.xml", "--output", out]), cli.parser().parse_args(["load", "x.xml", "--dsn", "x.db"])
+    assert cli.scratch_dir(bare("spark://h:1"), convert).startswith(f"{out}/_lodestrata/lodestrata-")
+    assert cli.scratch_dir(bare("local[2]"), load) and cli.scratch_dir(spark, load).startswith(spark.conf.get("spark.checkpoint.dir"))
+    with pytest.raises(ValueError):
+        cli.scratch_dir(bare("spark://h:1"), load)
+    monkeypatch.setattr(cli, "scratch_dir", lambda *_: f"{out}/_lodestrata/lodestrata-1")
+    assert cli.main(["convert", dump("labels", gz=True), "--output", out], spark=spark) == 0
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["labels"]
+
+
 def test_interrupt(spark, monkeypatch, tmp_path):
     def stop(*_):
         raise KeyboardInterrupt

@@ -56,3 +56,43 @@ def test_jobs(spark, dump, tmp_path):
         dumps.resolve_jobs(spark, [str(tmp_path / "empty")])
     with pytest.raises(ValueError):
         dumps.resolve_jobs(spark, [dump("artists", name="other_things.xml")])
+
+
+def test_gzip_files_are_written_out_plain_at_once(spark, dump, tmp_path):
+    jobs = [dumps.Job(dump(e, gz=True), e) for e in ("labels", "artists")] + [dumps.Job(dump("masters"), "masters")]
+    got = dumps.inflate(spark, jobs, str(tmp_path / "xml"))
+    assert [j.entity for j in got] == ["labels", "artists", "masters"] and got[2] == jobs[2]
+    assert sorted(p.name for p in (tmp_path / "xml").iterdir()) == ["dump_20260101_artists.xml", "dump_20260101_labels.xml"]
+    for a, b in zip(jobs, got, strict=True):
+        assert read(spark, a.path, a.entity) == read(spark, b.path, b.entity)
+
+
+def test_a_plain_file_that_is_there_is_used(spark, dump, tmp_path):
+    path = dump("labels", gz=True)
+    (tmp_path / "dump_20260101_labels.xml").write_text("<labels>\n<label><id>77</id></label>\n</labels>\n")
+    (job,) = dumps.inflate(spark, [dumps.Job(path, "labels")])
+    assert job.path == path.removesuffix(".gz") and read(spark, job.path, "labels") == ["<label><id>77</id></label>"]
+
+
+@pytest.mark.parametrize("harm", [lambda b: b[:-12], lambda b: b"no gzip at all" + b])
+def test_a_damaged_file_is_named_and_leaves_nothing(spark, dump, tmp_path, harm):
+    good, path = dump("artists", gz=True), dump("labels", gz=True)
+    with open(path, "rb") as f:
+        data = harm(f.read())
+    with open(path, "wb") as f:
+        f.write(data)
+    with pytest.raises(dumps.DecompressError, match="labels.xml.gz"):
+        dumps.inflate(spark, [dumps.Job(good, "artists"), dumps.Job(path, "labels")], str(tmp_path / "xml"))
+    assert not [p for p in (tmp_path / "xml").iterdir() if "labels" in p.name]
+
+
+def test_partitions_bound_the_tasks_that_parse(spark, dump):
+    path = dump("masters", "".join(f'<master id="{i}"><title>t</title></master>\n' for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        assert dumps.read_records(spark, path, get("masters")).rdd.getNumPartitions() > 3
+        few = dumps.read_records(spark, path, get("masters"), partitions=3)
+        assert few.rdd.getNumPartitions() == 3 and few.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
