@@ -7,12 +7,13 @@ token budget is realised as whole passes over the source and one partial pass, w
 in the order of a keyed permutation until its tokens are spent.
 
 The partial pass needs a running sum over a source, and one source may hold a third of all rows. The
-permutation is therefore cut into blocks by the first digits of its key: block totals are summed
-first, their running sums are taken over the few rows of the blocks, and only the rows of one block
-are ordered together. The blocks change the plan, never the result.
+permutation is therefore cut into blocks by the first digits of its key, as many as keep a block of the
+largest source at about BLOCK_ROWS rows: block totals are summed first, their running sums are taken
+over the few rows of the blocks, and only the rows of one block are ordered together. The blocks change
+the plan, never the result.
 
 Defined cases: a null or wordless text has 0 tokens; a null source is the source ''; a null doc_id is
-keyed as ''; repeated rows are separate documents; a source without tokens is never drawn; an empty
+keyed by its text; repeated rows are separate documents; a source without tokens is never drawn; an empty
 table, or one without tokens, gives an empty result. A document is drawn by a pass while tokens
 remain before it, so a pass may overshoot by less than one document.
 """
@@ -28,7 +29,8 @@ from .common import staged
 GRID = 1 << 20
 #: Exponents tried in one pass over the source table; each pass fixes four binary digits.
 SECTION = 16
-BLOCK_DIGITS = 2
+#: Rows of a block, about; it has two hexadecimal digits at least.
+BLOCK_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,7 +40,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def source_totals(sized: DataFrame) -> DataFrame:
-    return sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens")).where("source_tokens > 0")
+    return sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_rows")).where("source_tokens > 0")
 
 
 def choose_exponent(totals: DataFrame, budget: float, *, max_repetition: float | None, min_entropy: float | None) -> int:
@@ -82,9 +84,11 @@ def mix_sources(docs: DataFrame, *, budget_ratio: float = 1.0, max_repetition: f
     """
     if (max_repetition is None) == (min_entropy is None):
         raise ValueError("give either max_repetition or min_entropy")
-    sized = staged(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), n_tokens(F.col("text")).alias("n_tokens")), "mix-sizes")
+    sized = staged(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("own_key")), "mix-sizes")
     totals = staged(source_totals(sized), "mix-totals")
-    total = float(totals.agg(F.sum("source_tokens")).first()[0] or 0)
+    total, largest = totals.agg(F.sum("source_tokens"), F.max("source_rows")).first()
+    total = float(total or 0)
+    digits = max(2, len(f"{(largest or 0) // BLOCK_ROWS:x}"))
     budget = float(int(total * budget_ratio))
     a = choose_exponent(totals, budget, max_repetition=max_repetition, min_entropy=min_entropy) / GRID
     raised = totals.withColumn("raised", F.pow(F.col("source_tokens") / F.lit(total or 1.0), F.lit(a)))
@@ -94,10 +98,10 @@ def mix_sources(docs: DataFrame, *, budget_ratio: float = 1.0, max_repetition: f
     drawn = sized.join(plan, "source")
 
     def key(epoch: Column) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+        return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.col("own_key")).cast("binary"))
 
     whole = drawn.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1))).withColumn("mix_key", key(F.col("epoch")))
-    part = drawn.where("rest > 0").withColumn("epoch", F.col("whole")).withColumn("mix_key", key(F.col("epoch"))).withColumn("block", F.substring("mix_key", 1, BLOCK_DIGITS))
+    part = drawn.where("rest > 0").withColumn("epoch", F.col("whole")).withColumn("mix_key", key(F.col("epoch"))).withColumn("block", F.substring("mix_key", 1, digits))
     starts = part.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     starts = starts.withColumn("before_block", F.sum("block_tokens").over(Window.partitionBy("source").orderBy("block")) - F.col("block_tokens")).drop("block_tokens")
     here = Window.partitionBy("source", "block").orderBy("mix_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -110,7 +114,8 @@ def mix_sources(docs: DataFrame, *, budget_ratio: float = 1.0, max_repetition: f
 MIX_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, coalesce(source, '') AS source,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens,
+         coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) AS own_key
   FROM {docs}),
 totals AS (SELECT source, sum(n_tokens)::BIGINT AS source_tokens FROM sized GROUP BY source HAVING sum(n_tokens) > 0),
 whole_corpus AS (SELECT sum(source_tokens)::DOUBLE AS total, min(source_tokens)::DOUBLE AS least FROM totals),
@@ -129,9 +134,9 @@ plan AS (
   SELECT source, b // source_tokens AS whole, b % source_tokens AS rest
   FROM (SELECT source, source_tokens, floor(r / (SELECT sum(r) FROM raised) * total)::BIGINT AS b FROM raised, whole_corpus)),
 passes AS (
-  SELECT doc_id, source, n_tokens, whole, rest, unnest(range(0, whole + 1))::BIGINT AS epoch FROM sized JOIN plan USING (source)),
+  SELECT doc_id, own_key, source, n_tokens, whole, rest, unnest(range(0, whole + 1))::BIGINT AS epoch FROM sized JOIN plan USING (source)),
 keyed AS (
-  SELECT *, md5('mix:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS mix_key FROM passes),
+  SELECT *, md5('mix:' || epoch || ':' || own_key) AS mix_key FROM passes),
 summed AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY mix_key, doc_id, n_tokens
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS before_it FROM keyed)

@@ -80,6 +80,13 @@ def test_mix_odd_rows(spark, odd, none, clashing):
     assert mixing.mix_sources(clashing).count() == mixing.mix_sources(odd).count()
 
 
+def test_blocks_do_not_change_the_mix(spark, monkeypatch):
+    docs = sources(random.Random(5), {"big": 400, "small": 20}) + [(None, f"no id {i} " * (i % 5), "en", "big") for i in range(40)]
+    df = spark.createDataFrame(docs, DOCS)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
+    assert same_as_sql(mixing.mix_sources(df).collect(), docs, 1.25)
+
+
 def test_mix_main_path_runs_no_python(spark, odd):
     plan = mixing.mix_sources(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
