@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 from . import __version__
-from .console import short_time, status
+from .console import Progress, short_time, status
 from .plans.entities import get
 
 
@@ -22,7 +22,7 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--keep-stage", action="store_true", help="keep the staged table")
     p.add_argument("--stage-dir", default=None, help="folder for decompressed dumps and the staged table, shared by all tasks (default: spark.checkpoint.dir, else beside the output)")
     p.add_argument("--overwrite", action="store_true")
-    p.add_argument("--profile", action="store_true", help="seconds of each table")
+    p.add_argument("--profile", action="store_true", help="seconds that each table took and waited")
     p.add_argument("--progress", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--strict", action="store_true", help="report elements that are not known")
 
@@ -67,15 +67,14 @@ def report(result, spec, verb: str, profile: bool) -> str:
     lines += [status("Unknown", p) for p in result.unknown]
     if profile:
         total = sum(result.tables.values())
-        lines += [status(t.name, f"{result.tables.get(t.name, 0):.2f}s", f"{100 * result.tables.get(t.name, 0) / total if total else 0:.1f}%") for t in spec.tables]
+        lines += [status(t.name, f"{result.tables.get(t.name, 0):.2f}s after {result.waits.get(t.name, 0):.2f}s", f"{100 * result.tables.get(t.name, 0) / total if total else 0:.1f}%") for t in spec.tables]
     return "\n".join(lines)
 
 
 def session(args: argparse.Namespace):
     from pyspark.sql import SparkSession
 
-    builder = SparkSession.builder.appName("lodestrata")
-    return builder.config("spark.ui.showConsoleProgress", str(args.progress).lower()).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("lodestrata").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def scratch_dir(spark, args: argparse.Namespace) -> str:
@@ -111,7 +110,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         jobs = resolve_jobs(spark, args.paths)
         own = scratch_dir(spark, args)
         for job in inflate(spark, jobs, None if args.keep_xml else f"{own}/xml"):
-            result = run(spark, Config(job, sink, f"{own}/stage", chunk_mb=args.chunk_mb, parse_partitions=args.parse_workers, write_threads=max(1, args.write_queue), strict=args.strict, profile=args.profile, keep_stage=args.keep_stage))
+            with Progress(spark, job.entity, args.progress and sys.stderr.isatty()):
+                result = run(spark, Config(job, sink, f"{own}/stage", chunk_mb=args.chunk_mb, parse_partitions=args.parse_workers, write_threads=max(1, args.write_queue), strict=args.strict, profile=args.profile, keep_stage=args.keep_stage))
             print(report(result, get(job.entity), "converted" if args.command == "convert" else "loaded", args.profile))
         return 0
     except KeyboardInterrupt:

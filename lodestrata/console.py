@@ -6,6 +6,9 @@ import os
 import platform
 import re
 import statistics
+import sys
+import threading
+import time
 
 
 def short_time(seconds: float) -> str:
@@ -33,6 +36,38 @@ def wall_seconds(text: str) -> float:
     return total
 
 
+class Progress:
+    """A line on a stream while Spark works: what is done, tasks a second, time so far and about left. Nothing is written if `shown` is false."""
+
+    def __init__(self, spark, what: str, shown: bool = True, every: float = 1.0, stream=None) -> None:
+        self.tracker, self.what, self.every, self.stream = spark.sparkContext.statusTracker(), what, every, stream or sys.stderr
+        self.shown, self.over = shown, threading.Event()
+
+    def line(self, seconds: float) -> str:
+        infos = [i for i in map(self.tracker.getStageInfo, self.tracker.getActiveStageIds()) if i]
+        done, total = sum(i.numCompletedTasks for i in infos), sum(i.numTasks for i in infos)
+        left = f", about {short_time(seconds * (total - done) / done)} left" if done and total > done else ""
+        return f"{self.what}: {done}/{total} tasks, {done / seconds if seconds else 0:.1f}/s, {short_time(seconds)}{left}"
+
+    def _run(self) -> None:
+        began = time.monotonic()
+        while not self.over.wait(self.every):
+            self.stream.write(f"\r{self.line(time.monotonic() - began):<78}")
+            self.stream.flush()
+        self.stream.write("\r" + " " * 78 + "\r")
+
+    def __enter__(self) -> Progress:
+        if self.shown:
+            self.thread = threading.Thread(target=self._run, daemon=True)
+            self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        if self.shown:
+            self.thread.join()
+
+
 def status(label: str, detail: str, timing: str = "") -> str:
     return f"  {label:<12} {detail}" + (f"  {timing}" if timing else "")
 

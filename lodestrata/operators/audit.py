@@ -74,17 +74,28 @@ def unknown_in(xml: str, declared: set[str]) -> set[str]:
     return out
 
 
-def unknown_paths(records: DataFrame, spec: EntitySpec, column: str = "xml") -> list[str]:
-    """Elements and attributes (with a leading _) that the records hold and the entity does not declare, sorted, each once."""
+def with_unknown(records: DataFrame, spec: EntitySpec, column: str = "xml") -> DataFrame:
+    """The records with `unknown`, the paths of each that its task has not yet met in another."""
     declared = _paths(spec.record)
 
     def run(batches):
-        found: set[str] = set()
+        met: set[str] = set()
         for b in batches:
-            for x in b.column(0):
-                if x.is_valid:
-                    found |= unknown_in(x.as_py(), declared)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["path"])
+            fresh = []
+            for x in b.column(column).to_pylist():
+                new = unknown_in(x, declared) - met if x is not None else set()
+                met.update(new)
+                fresh.append(sorted(new))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fresh, pa.list_(pa.string()))], names=[*b.schema.names, "unknown"])
+
+    return records.mapInArrow(run, T.StructType([*records.schema.fields, T.StructField("unknown", T.ArrayType(T.StringType()))]))
+
 
-    # As many rows as there are different names in the dumps, whatever their size.
-    return [r["path"] for r in records.select(column).mapInArrow(run, "path string").distinct().orderBy("path").collect()]
+def unknown_names(table: DataFrame) -> list[str]:
+    """All paths of the column `unknown`, sorted, each once: as many as there are different names, whatever the size of the dumps."""
+    return [r["path"] for r in table.select(F.explode("unknown").alias("path")).distinct().orderBy("path").collect()]
+
+
+def unknown_paths(records: DataFrame, spec: EntitySpec, column: str = "xml") -> list[str]:
+    """Elements and attributes (with a leading _) that the records hold and the entity does not declare, sorted, each once."""
+    return unknown_names(with_unknown(records.select(column), spec, column))

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import audit, shred
-from .plans.entities import EntitySpec, get
+from .plans.entities import EntitySpec, get, table_groups
 from .sinks.base import Sink
 from .sources.dumps import EmptyDump, Job, MalformedDump, named_error, read_records
 
@@ -37,20 +37,25 @@ class Result:
     t_finalize: float = 0.0
     unknown: list[str] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
+    #: Seconds that each table took to write, and that it waited for its turn.
     tables: dict[str, float] = field(default_factory=dict)
+    waits: dict[str, float] = field(default_factory=dict)
 
     @property
     def t_total(self) -> float:
         return self.t_stage + self.t_write + self.t_finalize
 
 
-def stage_dump(spark: SparkSession, config: Config, spec: EntitySpec) -> tuple[DataFrame, dict]:
-    """Parse the dump once into the staged table."""
+def stage_dump(spark: SparkSession, config: Config, spec: EntitySpec) -> tuple[DataFrame, dict, list[str]]:
+    """Parse the dump once into the staged table; in strict mode the same pass looks for what is not known."""
     spark.conf.set("spark.sql.files.maxPartitionBytes", f"{config.chunk_mb}m")
     path = f"{config.stage_dir.rstrip('/')}/{spec.name}"
     try:
         records = read_records(spark, config.job.path, spec, partitions=config.parse_partitions)
-        counted, seen = audit.observed(shred.stage(records, spec, "xml", None, "closed"))
+        keep = ["closed"]
+        if config.strict:
+            records, keep = audit.with_unknown(records, spec), ["closed", "unknown"]
+        counted, seen = audit.observed(shred.stage(records, spec, "xml", None, *keep))
         counted.write.mode("overwrite").parquet(path)
     except Exception as e:
         raise named_error(config.job.path, e) from e
@@ -59,7 +64,8 @@ def stage_dump(spark: SparkSession, config: Config, spec: EntitySpec) -> tuple[D
         raise EmptyDump(f"{config.job.path}: no <{spec.row_tag}> found")
     if not counts["closed"]:
         raise MalformedDump(f"{config.job.path}: does not end with </{spec.row_tag}>")
-    return spark.read.schema(counted.schema).parquet(path).drop("closed"), counts
+    staged = spark.read.schema(counted.schema).parquet(path)
+    return staged.drop(*keep), counts, audit.unknown_names(staged) if config.strict else []
 
 
 def run(spark: SparkSession, config: Config) -> Result:
@@ -70,25 +76,26 @@ def run(spark: SparkSession, config: Config) -> Result:
     try:
         config.sink.prepare(spark, spec)
         began = time.perf_counter()
-        if config.strict:
-            result.unknown = audit.unknown_paths(read_records(spark, config.job.path, spec), spec)
-        staged, counts = stage_dump(spark, config, spec)
+        staged, counts, result.unknown = stage_dump(spark, config, spec)
         result.records, result.skipped = counts["records"], counts["skipped"]
         result.t_stage = time.perf_counter() - began
 
-        def write(name: str) -> None:
-            at = time.perf_counter()
-            config.sink.write(name, shred.project(staged, spec, name), spec)
-            result.tables[name] = time.perf_counter() - at
-
         began = time.perf_counter()
-        heaviest = [t.name for t in sorted(spec.tables, key=lambda t: -t.weight)]
-        if config.sink.concurrent and config.write_threads > 1:
-            with ThreadPoolExecutor(config.write_threads) as pool:
-                list(pool.map(write, heaviest))
+
+        def write(names: list[str]) -> None:
+            for name in names:
+                at = time.perf_counter()
+                result.waits[name] = at - began
+                config.sink.write(name, shred.project(staged, spec, name), spec)
+                result.tables[name] = time.perf_counter() - at
+
+        # Groups of tables of about equal weight are written side by side.
+        groups = table_groups(config.write_threads if config.sink.concurrent else 1, spec)
+        if len(groups) > 1:
+            with ThreadPoolExecutor(len(groups)) as pool:
+                list(pool.map(write, groups))
         else:
-            for name in heaviest:
-                write(name)
+            write(groups[0])
         result.t_write = time.perf_counter() - began
         began = time.perf_counter()
         result.notes = config.sink.finalize(spark, spec)

@@ -5,6 +5,8 @@ Statements run through the JVM's own connection, so nothing but the JDBC driver'
 
 from __future__ import annotations
 
+import threading
+import warnings
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,9 @@ from ..plans.entities import EntitySpec
 from .base import OutputExists
 
 
+CLOSE_SECONDS = 30
+
+
 def jdbc_target(dsn: str) -> tuple[str, dict[str, str]]:
     """(JDBC URL, properties) of a postgresql:// DSN."""
     parts = urlsplit(dsn)
@@ -90,6 +95,11 @@ class PostgresSink:
         return []
 
     def close(self) -> None:
+        """Put the server's settings back; a server that does not answer is waited for CLOSE_SECONDS at most."""
         if self._tuned and self._spark is not None:
             todo, self._tuned = self._tuned, []
-            self._execute(todo)
+            last = threading.Thread(target=self._execute, args=(todo,), daemon=True)
+            last.start()
+            last.join(CLOSE_SECONDS)
+            if last.is_alive():
+                warnings.warn(f"the server has not put its settings back after {CLOSE_SECONDS} s: {'; '.join(todo)}", stacklevel=2)

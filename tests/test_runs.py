@@ -184,3 +184,32 @@ def test_own_entity(spark):
     finally:
         for d in (ENTITIES, shred.STAGED, shred.ROOTS):
             d.pop("songs", None)
+
+
+def test_progress_tells_rate_and_time_left(spark):
+    import io
+    from types import SimpleNamespace
+
+    from lodestrata.console import Progress
+
+    out = io.StringIO()
+    p = Progress(spark, "labels", every=0.01, stream=out)
+    p.tracker = SimpleNamespace(getActiveStageIds=lambda: [1, 2], getStageInfo=lambda i: SimpleNamespace(numCompletedTasks=5 * i, numTasks=30) if i == 2 else None)
+    assert p.line(20) == "labels: 10/30 tasks, 0.5/s, 20s, about 40s left"
+    with p:
+        p.over.wait(0.1)
+    assert "labels: 10/30 tasks" in out.getvalue()
+
+
+def test_a_server_that_hangs_is_not_waited_for(monkeypatch):
+    import threading
+
+    from lodestrata.sinks import postgres
+
+    monkeypatch.setattr(postgres, "CLOSE_SECONDS", 0.05)
+    sink, stop = PostgresSink("postgresql://h/d"), threading.Event()
+    sink._tuned, sink._spark, sink._execute = ["ALTER SYSTEM RESET x"], object(), lambda _: stop.wait(20)
+    with pytest.warns(UserWarning, match="ALTER SYSTEM RESET x"):
+        sink.close()
+    stop.set()
+    sink.close()
