@@ -46,7 +46,7 @@ AGREE = 22
 CELLS = 1 << 18
 CELL_BLOCK = 1 << 12
 #: Members of a bucket, and characters of their texts, that are a block when members are compared with each other.
-BLOCK_MEMBERS, BLOCK_CHARS = 1024, 4 << 20
+BLOCK_MEMBERS, BLOCK_CHARS = 512, 2 << 20
 
 # ---------------------------------------------------------------- document frequencies
 
@@ -333,18 +333,19 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     idf = spark.sparkContext.broadcast(idf_table(n, df))
     signed = staged(signatures(docs, idf), "dup-signed")
     rows = signed.select("doc_id", "text_key")
-    distinct = signed.groupBy("text_key").agg(F.first("bands").alias("bands"))
+    # From here on a text is one row, however many documents have it.
+    distinct = staged(signed.groupBy("text_key").agg(F.first(F.struct("sig", "bands")).alias("s")).select("text_key", "s.sig", "s.bands"), "dup-distinct")
     banded = distinct.select("text_key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = staged(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "dup-shared")
     members = staged(banded.join(shared, "bucket"), "dup-members")
     wanted = staged(members.select("text_key").distinct(), "dup-wanted")
     texts = staged(involved_texts(docs, wanted), "dup-texts")
-    sigs = signed.select("text_key", "sig").join(wanted, "text_key").groupBy("text_key").agg(F.first("sig").alias("sig"))
+    sigs = distinct.select("text_key", "sig").join(wanted, "text_key")
     labels = wanted.withColumn("label", F.col("text_key"))
     labels = merge(labels, verify(star_pairs(members), texts, idf, threshold))
     opened = staged(open_members(members, labels), "dup-open")
     labels = merge(labels, block_links(opened, texts, sigs, idf, threshold))
-    done(members, texts, opened)
+    done(members, texts, opened, distinct, shared)
     return rows, labels
 
 
