@@ -164,13 +164,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_R
             cells = [np.sort(h.cells(x.as_py())).astype("<i4").tobytes() for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("draw"), b.column("toxic"), pa.array(cells, pa.binary())], schema=schema)
 
-    # Staged, so that all tasks extract at once. The exact bound is applied where the rows lie, so that ids given over and
-    # over do not reach the driver.
-    drawn = staged(rows.mapInArrow(run, "doc_id string, draw long, toxic int, cells binary"), "tox-sample")
-    order = [F.pmod("draw", F.lit(1 << 30)), F.col("doc_id"), F.col("toxic"), F.col("cells")]
-    bounded = staged(drawn.orderBy(*order).limit(max_rows).withColumn("nth", F.row_number().over(Window.orderBy(*order))), "tox-bounded")
+    # Staged, so that all tasks extract at once. The exact bound is applied before anything reaches the driver, whatever ids
+    # are given over and over; it orders keys only, and the driver then reads a few MB at a time.
+    drawn = staged(rows.mapInArrow(run, "doc_id string, draw long, toxic int, cells binary").withColumn("row", F.monotonically_increasing_id()), "tox-sample")
+    order = [F.pmod("draw", F.lit(1 << 30)), F.col("doc_id"), F.col("toxic"), F.col("same"), F.col("row")]
+    first = drawn.withColumn("same", F.md5("cells")).drop("cells").orderBy(*order).limit(max_rows)
+    first = staged(first.select("row", F.row_number().over(Window.orderBy(*order)).alias("nth")), "tox-first")
+    bounded = staged(drawn.join(first, "row").select("nth", "toxic", "cells").repartition(16), "tox-bounded")
     kept = sorted((r["nth"], r["toxic"], bytes(r["cells"])) for r in bounded.toLocalIterator())
-    done(drawn, bounded)
+    done(drawn, first, bounded)
     return [(t, np.frombuffer(c, "<i4")) for _, t, c in kept]
 
 
