@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 from . import __version__
-from .console import Progress, short_time, status
+from .console import Progress, file_size, short_time, status
 from .plans.entities import get
 
 
@@ -59,9 +59,11 @@ def make_sink(args: argparse.Namespace):
     return get_sink(args.dsn, overwrite=args.overwrite, unlogged=args.pg_unlogged, tune=args.pg_tune, fk=args.pg_fk, writers=args.write_workers if args.write_workers > 1 else None, index_workers=args.index_workers)
 
 
-def report(result, spec, verb: str, profile: bool) -> str:
+def report(result, spec, verb: str, profile: bool, size: int | None = None) -> str:
     rate = f"  {result.records / result.t_stage:,.0f} rec/s" if result.t_stage > 0 else ""
     lines = [f"{result.records:,} {spec.name} {verb} [{short_time(result.t_total) if result.t_total >= 60 else f'{result.t_total:.2f}s'}]", status("Stage", f"{result.t_stage:.2f}s{rate}"), status("Write", f"{result.t_write:.2f}s"), status("Finalize", f"{result.t_finalize:.2f}s")]
+    if size is not None:
+        lines.insert(1, status("Input", file_size(size)))
     if result.skipped:
         lines.append(status("Warning", f"{result.skipped} records without id were skipped"))
     lines += [status("Unknown", p) for p in result.unknown]
@@ -103,7 +105,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     sink, own = None, None
     try:
         from .run import Config, run
-        from .sources.dumps import inflate, resolve_jobs
+        from .sources.dumps import inflate, length, resolve_jobs
 
         sink = make_sink(args)
         spark = spark or session(args)
@@ -112,7 +114,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for job in inflate(spark, jobs, None if args.keep_xml else f"{own}/xml"):
             with Progress(spark, job.entity, args.progress and sys.stderr.isatty()):
                 result = run(spark, Config(job, sink, f"{own}/stage", chunk_mb=args.chunk_mb, parse_partitions=args.parse_workers, write_threads=max(1, args.write_queue), strict=args.strict, profile=args.profile, keep_stage=args.keep_stage))
-            print(report(result, get(job.entity), "converted" if args.command == "convert" else "loaded", args.profile))
+            print(report(result, get(job.entity), "converted" if args.command == "convert" else "loaded", args.profile, length(spark, job.path)))
         return 0
     except KeyboardInterrupt:
         print("Interrupted", file=sys.stderr)

@@ -66,6 +66,12 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def length(spark: SparkSession, path: str) -> int:
+    """Bytes of a file."""
+    where, fs = _hadoop(spark, path)
+    return fs.getFileStatus(where).getLen()
+
+
 def resolve_jobs(spark: SparkSession, paths: list[str]) -> list[Job]:
     """Files to read with their entities. A folder stands for its *.xml.gz and *.xml in order of name; other names are ignored; what is missing or has an unknown name is an error."""
     found: list[str] = []

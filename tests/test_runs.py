@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import sqlite3
 
 import pytest
@@ -115,7 +116,7 @@ def test_cli(spark, dump, tmp_path, capsys):
     dump("labels"), dump("artists", gz=True)
     assert cli.main(["convert", str(tmp_path), "--output", str(tmp_path / "o"), "--profile", "--strict", "--no-progress"], spark=spark) == 0
     out = capsys.readouterr().out
-    assert "2 artists converted" in out and "2 labels converted" in out and "artist_members" in out
+    assert "2 artists converted" in out and "2 labels converted" in out and "artist_members" in out and re.search(r"Input +\d+ B", out)
     assert cli.main(["convert", str(tmp_path), "--output", str(tmp_path / "o")], spark=spark) == 1
     assert cli.main(["convert", str(tmp_path / "none.xml")], spark=spark) == 1
     assert cli.main(["load", str(tmp_path), "--dsn", "mysql://x"], spark=spark) == 1
