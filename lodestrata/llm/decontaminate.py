@@ -12,7 +12,7 @@ expanded HITS at a time and kept as one entry for each diagonal of a text and an
 of few words repeated over and over take memory by their lengths, not by the product of them.
 
 Defined cases: null and empty texts and items have no words; an item shorter than the lightest mask
-is never found (too short to tell a leak from chance); items alike in text are each reported, rows alike
+is never found (too short to tell a leak from chance), nor is a segment without five matches under a mask; items alike in text are each reported, rows alike
 in item_id and text are one item; of equal best segments the first in the text counts; repeated rows are reported each; a null doc_id or item_id is
 reported as null; an empty benchmark finds nothing.
 """
