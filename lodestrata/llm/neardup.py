@@ -354,7 +354,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows, labels = text_classes(docs, threshold)
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(labels, "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
     named = texts.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    return rows.join(texts.select("text_key", "label").join(named, "label").withColumnRenamed("label", "class_key"), "text_key")
+    # In a table of its own, so that a text which many documents have can be split in the join.
+    classed = staged(texts.select("text_key", "label").join(named, "label").withColumnRenamed("label", "class_key"), "dup-classes")
+    return rows.join(classed, "text_key")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
