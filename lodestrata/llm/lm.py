@@ -6,11 +6,12 @@ word begun, the hash of that context and of the byte's leading bits names a cell
 and ones in the training texts give a predictor's bit probability. The predictors are combined in the
 logistic domain by two sets of weights that gates choose (the decision node and the longest context
 known; how much was counted in three of them), and the mean of both is refined by an adaptive
-probability map. Weights and map are learned online from the byte runs of a fixed share of the training
-texts, over counts of the others; learners in parallel start alike, and their weights are averaged by
-how often each was used. The log probabilities of all bits add up to the text's score.
+probability map. Weights and map are learned online from the byte runs of all training texts: these are
+dealt into two parts, and each part teaches over the counts of the other. Learners in parallel start
+alike, and their weights are averaged by how often each was used. The log probabilities of all bits add
+up to the text's score.
 
-The cell counts that score come from all training texts, that share too. As the model is fixed while it
+The cell counts that score come from all training texts. As the model is fixed while it
 scores, a byte's probability depends on its run only: the byte and the REACH before it. So no table of
 the corpus is broadcast. Texts are read in blocks; each block sends its different runs, with their
 counts, to the bucket that owns the last three bytes before them. A bucket adds up the counts of all
@@ -61,8 +62,9 @@ PIECE, GROUP, BLOCK_BYTES = 1 << 14, 256, 16 << 20
 STEP = 1 << 19
 END = 0xFF
 END_TOKEN = b""
-#: One training text in LEARN_FROM teaches weights and map; runs of a learner, about; most runs in one online step; most times that a run is repeated.
-LEARN_FROM, LEARNER_RUNS, LANES, REPEATS = 32, 1 << 16, 512, 8
+#: One training text in LEARN_FROM is in the second of the two parts; runs that a learner holds, about, and how many times as many it learns from;
+#: most runs in one online step; most times that a run is repeated.
+LEARN_FROM, LEARNER_RUNS, LEARNER_TURNS, LANES, REPEATS = 2, 1 << 16, 4, 512, 8
 #: Slices in which learned weights are summed.
 WEIGHT_BLOCK = 1 << 13
 #: A run's log2 probability travels as a whole number of these steps.
@@ -136,7 +138,7 @@ def tally(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge_runs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One (keys, counts) of several; counts are (2, n): in the texts that count while weights are learned, and in those that teach them."""
+    """One (keys, counts) of several; counts are (2, n): in the texts of either part."""
     keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
     counts = np.concatenate([np.zeros((2, 0), np.int64), *(c for _, c in parts)], axis=1)
     if len(parts) < 2:
@@ -262,7 +264,7 @@ class Mixer:
         used.refine.reshape(-1)[knots] += n
 
     def study(self, inputs: tuple, times: np.ndarray, used: Mixer) -> None:
-        """Learn weights and map online from runs that occur `times` in the teaching texts: each is taken up to REPEATS times, in an order without regard to its place."""
+        """Learn weights and map online from runs that occur `times` in the texts of a part: each is taken up to REPEATS times, in an order without regard to its place."""
         x, gates, ones = inputs
         repeats = np.minimum(times, REPEATS)
         order = np.repeat(np.arange(len(times)), repeats)
@@ -412,7 +414,7 @@ def read_texts(own: DataFrame) -> DataFrame:
                 yield _bucket_rows(top + number, *tally(room[:size]))
 
         for b in batches:
-            kinds = [2 if out else int(teaches) for out, teaches in zip(b.column("held_out").to_pylist(), b.column("teaches").to_pylist(), strict=True)]
+            kinds = [2 if out else int(second) for out, second in zip(b.column("held_out").to_pylist(), b.column("second").to_pylist(), strict=True)]
             packed, at = b.select(["doc_id", "held_out", "text"]), 0
             for group in groups_of([fold(x.as_py()) for x in b.column("text")]):
                 held = sum(len(t) + 1 for t in group)
@@ -428,7 +430,7 @@ def read_texts(own: DataFrame) -> DataFrame:
                 size, at = size + held, at + len(group)
         yield from close()
 
-    return own.select("doc_id", "held_out", "teaches", "text").mapInArrow(run, READ)
+    return own.select("doc_id", "held_out", "second", "text").mapInArrow(run, READ)
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -468,7 +470,7 @@ def add_runs(runs: DataFrame, by: list[str], tasks: int) -> DataFrame:
         def flush():
             keys, counts = merge_runs(parts)
             counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([pack(keys)], pa.binary()), pa.array([pack(counts.ravel())], pa.binary()), pa.array([int((counts[1] > 0).sum())], pa.int64())], names=["bucket", "n", "keys", "counts", "n_lessons"])
+            yield pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([pack(keys)], pa.binary()), pa.array([pack(counts.ravel())], pa.binary()), pa.array([int((counts > 0).sum())], pa.int64())], names=["bucket", "n", "keys", "counts", "n_lessons"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("bucket", *names, "n", "keys", "counts")), strict=True):
@@ -495,8 +497,8 @@ def _unpacked(batches):
             yield bucket, unpack(keys, n, np.uint64), unpack(counts, 2 * n, np.uint32).reshape(2, n).astype(np.int64)
 
 
-def low_counts(known: DataFrame) -> tuple[Low, Low]:
-    """Counts in contexts of one and two bytes: without the texts that teach, and of all."""
+def low_counts(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of runs cut to contexts of two bytes, as Low.of takes them; counts are (2, n), in the texts of either part."""
 
     def run(batches):
         keys, counts = np.zeros(0, np.int64), np.zeros((2, 0))
@@ -505,22 +507,21 @@ def low_counts(known: DataFrame) -> tuple[Low, Low]:
             ids, where = np.unique(np.concatenate([keys, near.astype(np.int64)]), return_inverse=True)
             both = np.concatenate([counts, c.astype(np.float64)], axis=1)
             keys, counts = ids, np.stack([np.bincount(where, weights=x, minlength=len(ids)) for x in both])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts[0]), pa.array(counts.sum(axis=0))], names=["key", "rest", "every"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts[0]), pa.array(counts[1])], names=["key", "first", "second"])
 
     # At most 2^24 keys, whatever the corpus.
-    got = known.mapInArrow(run, "key long, rest double, every double").groupBy("key").agg(F.sum("rest").alias("rest"), F.sum("every").alias("every")).where("every > 0").toArrow()
-    keys = np.asarray(got.column("key"), dtype=np.int64)
-    return Low.of(keys, np.asarray(got.column("rest"))), Low.of(keys, np.asarray(got.column("every")))
+    got = known.mapInArrow(run, "key long, first double, second double").groupBy("key").agg(F.sum("first").alias("first"), F.sum("second").alias("second")).where("first + second > 0").toArrow()
+    return np.asarray(got.column("key"), dtype=np.int64), np.stack([np.asarray(got.column(c), dtype=np.float64) for c in ("first", "second")])
 
 
-def learn_weights(known: DataFrame, low: Low) -> Mixer:
-    """Weights and map learned from the runs of the teaching texts, over counts of the others: learners of about LEARNER_RUNS runs, averaged by use."""
+def learn_weights(known: DataFrame, keys: np.ndarray, counts: np.ndarray) -> Mixer:
+    """Weights and map learned from the runs of all training texts, those of each part over the counts of the other: a learner has some buckets, and learners are averaged by use."""
     spark = known.sparkSession
     start = Mixer.fresh()
     n_runs = known.agg(F.sum("n_lessons")).first()[0] or 0
     if not n_runs:
         return start
-    shared = spark.sparkContext.broadcast(low)
+    shared = spark.sparkContext.broadcast([Low.of(keys, c) for c in counts])
 
     def study(batches):
         mixer, used, held, size = start.with_weights(start.weights()), start.with_weights(np.zeros_like(start.weights())), [], 0
@@ -530,14 +531,17 @@ def learn_weights(known: DataFrame, low: Low) -> Mixer:
             inputs = np.concatenate([p[0] for p in parts], axis=1), [np.concatenate([p[1][g] for p in parts], axis=1) for g in range(3)], np.concatenate([p[2] for p in parts], axis=1)
             mixer.study(inputs, np.concatenate([h[1] for h in held]), used)
 
-        for b in batches:
-            for n, x, gates, ones, times in zip(*(b.column(c).to_pylist() for c in ("n", "x", "gates", "ones", "times")), strict=True):
-                x = unpack(x, 8 * n * (PREDICTORS + 1), np.int16).reshape(8, n, PREDICTORS + 1).astype(np.float32) / 256
-                held.append(((x, unpack(gates, 24 * n, np.int32).reshape(3, 8, n).astype(np.int64), unpack(ones, 8 * n, np.uint8).reshape(8, n)), unpack(times, n, np.int64)))
-                size += n
-                if size > 2 * LEARNER_RUNS:
-                    flush()
-                    held, size = [], 0
+        for _, keys, counts in _unpacked(batches):
+            for at in pieces(keys):
+                for part in range(2):
+                    taught = np.flatnonzero(counts[part, at])
+                    if len(taught):
+                        x, gates, ones = inputs_of(keys[at], counts[1 - part, at], shared.value[1 - part], taught)
+                        held.append(((x, [g.astype(np.int32) for g in gates], ones.astype(np.uint8)), counts[part, at][taught]))
+                        size += len(taught)
+                        if size > LEARNER_RUNS:
+                            flush()
+                            held, size = [], 0
         if held:
             flush()
         flat, times = mixer.weights(), used.weights()
@@ -554,16 +558,8 @@ def learn_weights(known: DataFrame, low: Low) -> Mixer:
         for k, t in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([t[0].tobytes()], pa.binary()), pa.array([t[1].tobytes()], pa.binary())], names=["block", "w", "n"])
 
-    def prepare(batches):
-        for bucket, keys, counts in _unpacked(batches):
-            for at in pieces(keys):
-                taught = np.flatnonzero(counts[1, at])
-                if len(taught):
-                    x, gates, ones = inputs_of(keys[at], counts[0, at], shared.value, taught)
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(taught)], pa.int32()), pa.array([pack(np.round(x * 256).astype(np.int16).ravel())], pa.binary()), pa.array([pack(np.stack(gates).astype(np.int32).ravel())], pa.binary()), pa.array([pack(ones.astype(np.uint8).ravel())], pa.binary()), pa.array([pack(counts[1, at][taught])], pa.binary())], names=["bucket", "n", "x", "gates", "ones", "times"])
-
-    prepared = known.select("bucket", "n", "keys", "counts").mapInArrow(prepare, "bucket int, n int, x binary, gates binary, ones binary, times binary")
-    dealt = prepared.repartition(-(-n_runs // LEARNER_RUNS), "bucket").sortWithinPartitions("bucket", "n", "times").select("n", "x", "gates", "ones", "times")
+    learners = min(BUCKETS, -(-n_runs // (LEARNER_TURNS * LEARNER_RUNS)))
+    dealt = known.select("bucket", "n", "keys", "counts").repartition(learners, "bucket").sortWithinPartitions("bucket")
     learned = dealt.mapInArrow(study, "block int, learner int, w binary, n binary").repartition("block").sortWithinPartitions("block", "learner")
     flat = start.weights().astype(np.float64)
     for r in learned.mapInArrow(add, "block int, w binary, n binary").collect():  # of fixed size
@@ -665,7 +661,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, fold_of=remainder) -> Da
     total, distinct = total or 0, distinct or 0
     top = counts.where(F.length("token") <= HEAD_BYTES).orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
     head = {t: math.log10(n + 0.5) for t, n in zip(top.column("token").to_pylist(), top.column("n").to_pylist(), strict=True)}
-    read = staged(read_texts(own.withColumn("teaches", F.pmod(F.xxhash64("doc_id", "text", F.lit("tune")), F.lit(LEARN_FROM)) == 0)), "lm-read")
+    read = staged(read_texts(own.withColumn("second", F.pmod(F.xxhash64("doc_id", "text", F.lit("tune")), F.lit(LEARN_FROM)) == 0)), "lm-read")
     texts = read.where(F.col("kind") == TEXTS).select("block", "texts")
     blocks = max(1, texts.select("block").distinct().count())
     groups = -(-blocks // GROUP)
@@ -674,8 +670,9 @@ def score_documents(docs: DataFrame, held_out: int = 1, fold_of=remainder) -> Da
     with batches_of(spark, TABLE_ROWS):
         each = add_runs(runs, ["bucket", "group"], tasks)
         known = staged(each if groups == 1 else add_runs(each, ["bucket"], min(tasks, BUCKETS)), "lm-known")
-        rest, every = low_counts(known)
-        rated = staged(rate_runs(known, every, learn_weights(known, rest)), "lm-rated")
+        low = low_counts(known)
+        mixer = learn_weights(known, *low)
+        rated = staged(rate_runs(known, Low.of(low[0], low[1].sum(axis=0)), mixer), "lm-rated")
         done(known)
         sums = staged(sum_texts(texts, answer(rated, runs, groups, tasks), head, blocks), "lm-sums")
     done(read, rated)

@@ -156,6 +156,16 @@ def test_every_training_text_is_counted_whole(spark):
     assert max(r.bits_per_byte for r in got if not r.held_out) < min(r.bits_per_byte for r in got if r.held_out)
 
 
+def test_every_training_text_teaches_the_weights(spark, monkeypatch):
+    """Each text has a byte of its own, and so the last decision of that byte: it is learned for the training texts, and only for them."""
+    seen, rate = [], lm.rate_runs
+    monkeypatch.setattr(lm, "rate_runs", lambda known, low, mixer: seen.append(mixer) or rate(known, low, mixer))
+    own = {i: b for i, b in enumerate(b for b in range(0x22, 0x7F, 2) if not 0x40 <= b <= 0x5B)}
+    got = lm.score_documents(spark.createDataFrame([(i, (chr(b) + " ") * 20, "en", "s") for i, b in own.items()], DOCS)).collect()
+    moved = (seen[0].by_node != lm.Mixer.fresh().by_node).any(axis=1).reshape(256, lm.KNOWN).any(axis=1)
+    assert {r.doc_id: bool(moved[128 | own[r.doc_id] >> 1]) for r in got} == {r.doc_id: not r.held_out for r in got}
+
+
 def test_probabilities_of_a_byte_add_up_to_one():
     rng = random.Random(1)
     keys, counts = lm.tally(lm.run_keys([lm.fold(sentence(rng, "en", 40)) for _ in range(30)]) << np.uint64(2))
