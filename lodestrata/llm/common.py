@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +47,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no more than its tasks."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    hand_back(df.sparkSession)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.scratch_path = path
     return back
@@ -58,6 +61,21 @@ def done(*tables: DataFrame) -> None:
     gc.collect()
     for t in tables[:1]:
         t.sparkSession.sparkContext._jvm.System.gc()
+        hand_back(t.sparkSession)
+
+
+def hand_back(spark: SparkSession) -> None:
+    """Give what the driver's Python and JVM have freed outside the Java heap back to the system. The C library keeps it, scattered
+    over an arena for each of dozens of threads, so that a long session would hold far more than it uses. Where there is no such call, nothing happens."""
+    with suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    with suppress(Py4JError):
+        command = gateway.new_array(jvm.java.lang.Object, 4)
+        command[0], command[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # Through the interface, as the server's own class is not open to the gateway.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), command)
 
 
 ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
