@@ -64,11 +64,17 @@ def done(*tables: DataFrame) -> None:
         hand_back(t.sparkSession)
 
 
+def trim() -> None:
+    """Give what this process has freed back to the system; its C library and Arrow keep it. Where there is no such call, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hand_back(spark: SparkSession) -> None:
     """Give what the driver's Python and JVM have freed outside the Java heap back to the system. The C library keeps it, scattered
     over an arena for each of dozens of threads, so that a long session would hold far more than it uses. Where there is no such call, nothing happens."""
-    with suppress(AttributeError, OSError, TypeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     with suppress(Py4JError):
         command = gateway.new_array(jvm.java.lang.Object, 4)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, done, remainder, small_batches, staged
+from .common import batches_of, done, remainder, small_batches, staged, trim
 
 HEAD, HEAD_BYTES = 1 << 17, 64
 #: Bytes before the predicted one in a run; the lengths of the byte contexts; predictors, the word's last.
@@ -58,8 +58,8 @@ BUCKETS = 512
 FILL = 2
 #: Runs whose cells are built together, about; blocks that a bucket answers in one task; bytes of text in a block.
 PIECE, GROUP, BLOCK_BYTES = 1 << 14, 256, 16 << 20
-#: Bytes whose runs are looked at together.
-STEP = 1 << 19
+#: Bytes whose runs are looked at together; runs that are counted together in a block, and slices of the buckets in which its counts are added up.
+STEP, PART, SLICES = 1 << 19, 1 << 22, 16
 END = 0xFF
 END_TOKEN = b""
 #: One training text in LEARN_FROM is in the second of the two parts; runs that a learner holds, about, and how many times as many it learns from;
@@ -90,9 +90,8 @@ def run_keys(folded: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"\0" * 7 + (b"\xff" + bytes(REACH)).join(folded) + b"\xff", np.uint8)
     # The eight bytes that end at each place are a whole number, the byte itself highest.
     key = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1)).view("<u8")[:, 0].astype(np.uint64)
-    byte = data[7:].astype(np.uint64)
     key &= np.uint64((1 << 56) - 256)
-    key |= byte
+    key |= data[7:]
     if len(folded) == 1:
         return key
     # What stands between two texts is not a place of either.
@@ -128,13 +127,72 @@ def bucket_of(keys: np.ndarray) -> np.ndarray:
 
 def tally(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys, sorted, and how often each occurs with kind 0 and kind 1, of keys that carry a kind of 0 to 2 in two bits below; sorts in place."""
+    return by_kind(*counted(both))
+
+
+def counted(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers, sorted, and how often each occurs; sorts in place, and needs further memory for the different ones only."""
     both.sort()
-    kinds = both.astype(np.uint8) & 3
-    both >>= np.uint64(2)
-    keys = both
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return both[first], np.diff(first, append=len(both)).astype(np.uint32)
+
+
+def by_kind(both: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What tally gives, of sorted keys with kinds that occur so many times; one may stand there several times."""
+    keys, kinds = both >> np.uint64(2), both.astype(np.uint8) & 3
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    of = [np.bincount(np.searchsorted(first, np.flatnonzero(kinds == k), "right") - 1, minlength=len(first)) for k in (1, 2)]
-    return keys[first], np.stack([np.diff(np.append(first, len(keys))) - of[0] - of[1], of[0]])
+    counts = [np.where(kinds == k, times, 0).astype(np.int64) for k in (0, 1)]
+    return keys[first], np.stack([np.add.reduceat(c, first) if len(first) else c for c in counts])
+
+
+@dataclass
+class BlockRuns:
+    """The runs of a block's texts, with their kinds. They are counted PART at a time, and what the parts hold is added up a slice of the
+    buckets at a time: never are all runs of the block, or a copy of all different ones, in memory."""
+
+    room: np.ndarray
+    size: int
+    parts: list[list[tuple[np.ndarray, np.ndarray]]]
+
+    @classmethod
+    def empty(cls) -> BlockRuns:
+        return cls(np.empty(PART, np.uint64), 0, [])
+
+    def add(self, group: list[bytes], kinds: list[int]) -> None:
+        both = run_keys(group)
+        both <<= np.uint64(2)
+        both |= np.repeat(np.array(kinds, np.uint8), [len(t) + 1 for t in group])
+        if self.size + len(both) > len(self.room):
+            self.count()
+        if len(both) > len(self.room):  # a text that is longer is a part of its own
+            self._keep(both)
+        else:
+            self.room[self.size : self.size + len(both)] = both
+            self.size += len(both)
+
+    def count(self) -> None:
+        if self.size:
+            self._keep(self.room[: self.size])
+            self.size = 0
+
+    def _keep(self, both: np.ndarray) -> None:
+        both, times = counted(both)
+        of = (bucket_of(both >> np.uint64(2)) // (BUCKETS // SLICES)).astype(np.uint8)
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(1, SLICES))
+        self.parts.append(list(zip(np.split(both[order], cuts), np.split(times[order], cuts), strict=True)))
+
+    def merged(self):
+        """(keys, counts) of every slice that has runs, as tally gives them; the block is empty then."""
+        self.count()
+        parts, self.parts = self.parts, []
+        for slices in zip(*parts, strict=True):
+            both, times = (np.concatenate(x) for x in zip(*slices, strict=True))
+            if len(both):
+                order = np.argsort(both, kind="stable")  # fast, as each part is sorted
+                yield by_kind(both[order], times[order])
 
 
 def merge_runs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -406,29 +464,20 @@ def read_texts(own: DataFrame) -> DataFrame:
     """One pass over the texts: the texts, packed, with the block each is in, and each block's runs by bucket."""
 
     def run(batches):
-        top, number, size = TaskContext.get().partitionId() << 32, 0, 0
-        room = np.empty(0, np.uint64)
-
-        def close():
-            if size:
-                yield _bucket_rows(top + number, *tally(room[:size]))
-
+        trim()
+        top, number, size, runs = TaskContext.get().partitionId() << 32, 0, 0, BlockRuns.empty()
         for b in batches:
             kinds = [2 if out else int(second) for out, second in zip(b.column("held_out").to_pylist(), b.column("second").to_pylist(), strict=True)]
             packed, at = b.select(["doc_id", "held_out", "text"]), 0
             for group in groups_of([fold(x.as_py()) for x in b.column("text")]):
                 held = sum(len(t) + 1 for t in group)
                 if size and size + held > BLOCK_BYTES:
-                    yield from close()
+                    yield from (_bucket_rows(top + number, *m) for m in runs.merged())
                     number, size = number + 1, 0
-                if size + held > len(room):
-                    room = np.concatenate([room[:size], np.empty(max(held, min(BLOCK_BYTES - size, 2 * len(room))), np.uint64)])
-                part = room[size : size + held]
-                np.left_shift(run_keys(group), np.uint64(2), out=part)
-                part |= np.repeat(np.array(kinds[at : at + len(group)], np.uint64), [len(t) + 1 for t in group])
+                runs.add(group, kinds[at : at + len(group)])
                 yield _filled(kind=[TEXTS], block=[top + number], texts=[pack_rows(packed.slice(at, len(group)))])
                 size, at = size + held, at + len(group)
-        yield from close()
+        yield from (_bucket_rows(top + number, *m) for m in runs.merged())
 
     return own.select("doc_id", "held_out", "second", "text").mapInArrow(run, READ)
 

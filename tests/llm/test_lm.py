@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 from collections import Counter
 
@@ -199,6 +201,43 @@ def test_runs_contexts_and_counts():
     assert {(k, i): c for k, row in zip(found.tolist(), counts.T.tolist(), strict=True) for i, c in enumerate(row) if c} == {k: 2 * n for k, n in want.items() if k[1] < 2}
 
 
+class Rows:
+    """Stands in for a table: hands back what would run on its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_a_block_is_counted_in_little_memory(monkeypatch):
+    """A block of 16 MiB has as many runs, of eight bytes each; the last text is longer than what is counted at once."""
+    monkeypatch.setattr(lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(2)
+    own = np.array([bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode() for n in rng.integers(2, 9, 300)])
+    texts = [" ".join(own[rng.integers(0, len(own), n)]) for n in [*[4000] * 500, 720_000]]
+    out, second = rng.random(len(texts)) < 0.3, rng.random(len(texts)) < 0.5
+    batches = [pa.record_batch({"doc_id": pa.array([i]), "held_out": pa.array([bool(out[i])]), "second": pa.array([bool(second[i])]), "text": pa.array([t])}) for i, t in enumerate(texts)]
+    assert 0.75 * lm.BLOCK_BYTES < sum(map(len, texts)) < lm.BLOCK_BYTES and len(texts[-1]) > 1 << 22
+    got, run = [], lm.read_texts(Rows())
+    tracemalloc.start()
+    try:
+        for b in run(iter(batches)):
+            got += [r for r in b.select(["block", "bucket", "n", "keys", "counts"]).to_pylist() if r["keys"] is not None]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    kinds = np.where(out, 2, second).astype(np.uint64)
+    keys, counts = lm.tally(np.concatenate([(lm.run_keys([lm.fold(t)]) << np.uint64(2)) | k for t, k in zip(texts, kinds, strict=True)]))
+    bucket = lm.bucket_of(keys)
+    assert [(r["block"], r["bucket"]) for r in got] == [(0, b) for b in np.unique(bucket)]
+    for r in got:
+        at = bucket == r["bucket"]
+        assert (lm.unpack(r["keys"], r["n"], np.uint64) == keys[at]).all() and (lm.unpack(r["counts"], 2 * r["n"], np.uint32).reshape(2, -1) == counts[:, at]).all()
+    assert peak < 150e6, peak
+
+
 def test_sums_and_packing():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 56, 5000, dtype=np.uint64)
